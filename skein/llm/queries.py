@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.keys import norm_id
 from skein.llm import conversations as talk
+from skein.llm import personal_info
 from skein.llm.leaks import leaks
 from skein.llm.nearest_time import nearest_in_time
 from skein.llm.residue import residue
@@ -59,6 +60,26 @@ def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     return p3_pieces(spark, directory).where(F.col("piece_no") == 0).select("item_table", "item_key").distinct()
 
 
+def p4_mentions(spark: SparkSession, directory: str) -> DataFrame:
+    """(item_table, item_key, start, end, pii_kind): every piece of personal information in messages.content and tool_results.content."""
+    texts = items(spark, directory).withColumnRenamed("content", "text")
+    found = personal_info.mentions(texts, ["item_table", "item_key"], personal_info.learn(texts))
+    return found.withColumnRenamed("kind", "pii_kind").distinct()
+
+
+def p4_found(spark: SparkSession, directory: str) -> DataFrame:
+    """(item_table, item_key, pii_kind)."""
+    return p4_mentions(spark, directory).select("item_table", "item_key", "pii_kind").distinct()
+
+
+def p4_redacted(spark: SparkSession, directory: str) -> DataFrame:
+    """(item_table, item_key, content, prose): the texts with placeholders; prose is null for tool_results."""
+    m = table(spark, directory, "messages", "seq", "content", "prose").select(F.lit("messages").alias("item_table"), F.col("seq").alias("item_key"), "content", "prose")
+    r = table(spark, directory, "tool_results", "result_id", "content").select(F.lit("tool_results").alias("item_table"), F.col("result_id").alias("item_key"), "content", F.lit(None).cast("string").alias("prose"))
+    both = m.unionByName(r)
+    return personal_info.redact(both, personal_info.learn(both.select(F.col("content").alias("text"))), ["content", "prose"])
+
+
 def p9_found(spark: SparkSession, directory: str) -> DataFrame:
     """(item_id, doc_id): which evaluation item leaks into which document."""
     return leaks(table(spark, directory, "documents", "doc_id", "text"), table(spark, directory, "eval_items", "item_id", "text")).select("item_id", "doc_id")
@@ -69,7 +90,7 @@ def p10_found(spark: SparkSession, directory: str) -> DataFrame:
     return residue(table(spark, directory, "documents", "doc_id", "text")).select("doc_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_conversations": p2_conversations, "p3_found": p3_found, "p3_pieces": p3_pieces, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_conversations": p2_conversations, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_mentions": p4_mentions, "p4_redacted": p4_redacted, "p9_found": p9_found, "p10_found": p10_found}
 
 _N = r"nullif(lower(regexp_replace({0}, '^\s+|\s+$', '', 'g')), '')"
 _P = r"nullif(regexp_replace(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '\.zst$', ''), '')"
