@@ -10,6 +10,7 @@ from skein.llm import conversations as talk
 from skein.llm import personal_info
 from skein.llm.leaks import leaks
 from skein.llm.nearest_time import nearest_in_time
+from skein.llm.packing import fill_containers, summary
 from skein.llm.residue import residue
 from skein.llm.splitting import split_items
 from skein.sources.tables import table
@@ -80,6 +81,16 @@ def p4_redacted(spark: SparkSession, directory: str) -> DataFrame:
     return personal_info.redact(both, personal_info.learn(both.select(F.col("content").alias("text"))), ["content", "prose"])
 
 
+def p8_containers(spark: SparkSession, directory: str) -> DataFrame:
+    """(container, doc_id, piece_no, first_token, n_tokens): the documents in containers of 2,048 tokens."""
+    return fill_containers(table(spark, directory, "documents", "doc_id", "text"))
+
+
+def p8_summary(spark: SparkSession, directory: str) -> DataFrame:
+    """(containers, tokens, bound, unused_share)."""
+    return summary(p8_containers(spark, directory))
+
+
 def p9_found(spark: SparkSession, directory: str) -> DataFrame:
     """(item_id, doc_id): which evaluation item leaks into which document."""
     return leaks(table(spark, directory, "documents", "doc_id", "text"), table(spark, directory, "eval_items", "item_id", "text")).select("item_id", "doc_id")
@@ -90,7 +101,7 @@ def p10_found(spark: SparkSession, directory: str) -> DataFrame:
     return residue(table(spark, directory, "documents", "doc_id", "text")).select("doc_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_conversations": p2_conversations, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_mentions": p4_mentions, "p4_redacted": p4_redacted, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_conversations": p2_conversations, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_mentions": p4_mentions, "p4_redacted": p4_redacted, "p8_containers": p8_containers, "p8_summary": p8_summary, "p9_found": p9_found, "p10_found": p10_found}
 
 _N = r"nullif(lower(regexp_replace({0}, '^\s+|\s+$', '', 'g')), '')"
 _P = r"nullif(regexp_replace(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '\.zst$', ''), '')"
