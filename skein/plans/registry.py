@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.plans import data_quality
+from skein.plans import data_quality, retrieval
 
-MODULES = (data_quality,)
+MODULES = (retrieval, data_quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, directory: str) -> DataFrame:
-    return data_quality.p7_report(spark, directory)
+    return retrieval.search_all_terms(spark, directory)
