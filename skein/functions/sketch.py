@@ -1,0 +1,39 @@
+"""Fixed-size tables filled by many tasks and merged by slices.
+
+Every task fills a whole table and sends it in slices; a slice of all tasks is merged in one place, slices side by
+side, and only the merged table reaches the driver. Its size is a parameter and doesn't grow with the data.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+SLICES = 16
+
+
+def fill_tables(df: DataFrame, fill: Callable[[Iterator[pa.RecordBatch]], list[np.ndarray]], merge: Callable[[list[np.ndarray], list[np.ndarray]], list[np.ndarray]], dtype: str, tables: int) -> list[np.ndarray]:
+    """The merged tables. fill: a task's batches to its tables (each of a length that SLICES divides). merge: two tasks' slices to one."""
+    names = [f"t{i}" for i in range(tables)]
+    schema = "slice int, " + ", ".join(f"{n} binary" for n in names)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full = fill(batches)
+        step = len(full[0]) // SLICES
+        cut = [[t[k * step : (k + 1) * step].tobytes() for k in range(SLICES)] for t in full]
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), *(pa.array(c, pa.binary()) for c in cut)], ["slice", *names])
+
+    def combine(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [[np.frombuffer(b, dtype) for b in r] for r in pdf[names].itertuples(index=False)]
+        out = rows[0]
+        for r in rows[1:]:
+            out = merge(out, r)
+        return pd.DataFrame([[key[0], *[o.tobytes() for o in out]]], columns=["slice", *names])
+
+    cores = max(1, df.sparkSession.sparkContext.defaultParallelism)
+    rows = sorted(df.coalesce(cores).mapInArrow(partial, schema).groupBy("slice").applyInPandas(combine, schema).collect())
+    return [np.concatenate([np.frombuffer(r[n], dtype) for r in rows]) for n in names]

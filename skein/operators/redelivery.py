@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skein.functions.sketch import fill_tables
 from skein.session import materialize
 
 BUCKETS = 32
@@ -51,10 +52,6 @@ class Planes:
             np.bitwise_or.at(self.twice, slot[again], bit[again])
             np.bitwise_or.at(self.once, slot, bit)
 
-    def merge(self, once: np.ndarray, twice: np.ndarray) -> None:
-        self.twice |= twice | (self.once & once)
-        self.once |= once
-
     def possible(self, h: np.ndarray, bucket: np.ndarray) -> np.ndarray:
         """True where the identifier may also be elsewhere: in another bucket, or again in its own."""
         full = np.uint32(0xFFFFFFFF)
@@ -73,19 +70,18 @@ def slots_for(rows: int, max_slots: int = MAX_SLOTS) -> int:
 
 
 def build_filters(keyed: DataFrame, slots: int) -> Planes:
-    """The filters of all rows of keyed (columns h, bucket): one partial pair of planes per core, merged on the driver (bounded by slots)."""
+    """The filters of all rows of keyed (columns h, bucket)."""
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fill(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
         planes = Planes(slots)
         for b in batches:
             planes.add(b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array([planes.once.tobytes()], pa.binary()), pa.array([planes.twice.tobytes()], pa.binary())], ["once", "twice"])
+        return [planes.once, planes.twice]
+
+    def merge(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
+        return [a[0] | b[0], a[1] | b[1] | (a[0] & b[0])]
 
-    cores = max(1, keyed.sparkSession.sparkContext.defaultParallelism)
-    planes = Planes(slots)
-    for row in keyed.select("h", "bucket").coalesce(cores).mapInArrow(partial, "once binary, twice binary").toLocalIterator():
-        planes.merge(np.frombuffer(row.once, np.uint32), np.frombuffer(row.twice, np.uint32))
-    return planes
+    return Planes(slots, *fill_tables(keyed.select("h", "bucket"), fill, merge, "uint32", 2))
 
 
 def redelivered(df: DataFrame, keys: list[str], order: str, time: str, max_slots: int = MAX_SLOTS) -> DataFrame:
