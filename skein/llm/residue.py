@@ -24,7 +24,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from skein.functions.sketch import SLICES, fill_tables
 
 #: Cells of the table of document frequencies (4 bytes each); words that share a cell count as more frequent.
 CELLS = 1 << 18
@@ -310,24 +311,20 @@ def coverage(text: str, index: Index, least: float = COVERAGE) -> tuple[float, s
 
 
 def document_frequencies(documents: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents by hashed word, over all documents, and their number. One table of CELLS counts a core reaches the driver."""
+    """Documents by hashed word, over all documents, and their number."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(CELLS, np.int64), 0
+    def count(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
+        df, n = np.zeros(CELLS, np.int64), np.zeros(SLICES, np.int64)
         for b in batches:
             for text in b.column(0):
                 t = text.as_py()
-                n += 1
+                n[0] += 1
                 if t:
                     df[list({cell(w) for w in vocabulary(t)})] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([df.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["df", "n"])
-
-    cores = max(1, documents.sparkSession.sparkContext.defaultParallelism)
-    total, n = np.zeros(CELLS, np.int64), 0
-    for row in documents.select("text").coalesce(cores).mapInArrow(count, "df binary, n bigint").toLocalIterator():
-        total += np.frombuffer(row.df, np.int64)
-        n += row.n
-    return total, n
+        return [df, n]
+
+    df, n = fill_tables(documents.select("text"), count, lambda a, b: [x + y for x, y in zip(a, b)], "int64", 2)
+    return df, int(n.sum())
 
 
 def residue(documents: DataFrame, least: float = COVERAGE) -> DataFrame:
