@@ -72,45 +72,48 @@ def pair_greedily(calls: DataFrame, results: DataFrame, look_back: int = LOOK_BA
 
 
 def fold_activities(events: DataFrame) -> DataFrame:
-    """One row an activity_id from its events: of each kind the last event counts, field by field.
+    """One row an activity_id from its events, in order of ord; for each field the last event that sets it counts.
 
-    events: activity_id, kind (started, linked, terminal, task-notification), ord (bigint, order), source_path,
-    session_id and the event fields of skein.schema.ACTIVITY_EVENTS. Of task notifications empty titles, descriptions
-    and summaries don't overwrite earlier ones.
+    events: activity_id, kind (started, linked, terminal, task-notification), ord (bigint), source_path, session_id
+    and the fields of skein.schema.EVENTS. Started events set what describes an activity and terminal ones how it
+    ended, also with empty values; task notifications set both, but empty titles and descriptions and a completion
+    of 0 don't overwrite. All of it is one aggregation with partial results before the shuffle.
     """
-    e = events.where(F.col("activity_id").isNotNull() & (F.col("activity_id") != ""))
-
-    def last(field: str, *kinds: str, keep_empty: bool = True):
-        ok = F.col("kind").isin(*kinds)
-        if not keep_empty:
-            ok = ok & (F.col(field) != "") if field not in ("started_at", "completed_at", "tool_uses") else ok & (F.col(field) != 0)
-        return F.max_by(F.when(ok, F.col(field)), F.when(ok, F.col("ord")))
-
-    begun, task = "started", "task-notification"
-    aggs = [
-        F.max_by("source_path", "ord").alias("record_source_path"),
-        F.max_by("source_path", "ord").alias("parent_source_path"),
-        F.max_by("session_id", "ord").alias("parent_session_id"),
-        last("parent_activity_id", begun).alias("parent_activity_id"),
-        last("session_file", "linked").alias("child_session_path"),
-        F.max_by(F.when(F.col("status") != "", F.col("status")), F.when(F.col("status") != "", F.col("ord"))).alias("status"),
-        F.coalesce(last("started_at", begun), F.min(F.when(F.col("kind") == task, F.col("started_at")))).alias("started_at"),
-        last("completed_at", "terminal", task, keep_empty=False).alias("completed_at"),
-        F.coalesce(last("activity_kind", begun), last("activity_kind", task)).alias("kind"),
-        F.coalesce(last("namespace", begun), last("namespace", task)).alias("namespace"),
-        last("title", begun, task, keep_empty=False).alias("title"),
-        last("description", begun, task, keep_empty=False).alias("description"),
-        last("model", begun).alias("model"),
-        last("effort", begun).alias("effort"),
-        last("result_summary", "terminal", task, keep_empty=False).alias("result_summary"),
-        last("tool_uses", "terminal").alias("tool_uses"),
-        last("entry_id", begun).alias("start_entry_id"),
-        last("parent_id", begun).alias("start_parent_id"),
-        last("entry_id", "linked").alias("linked_entry_id"),
-        last("entry_id", "terminal", task).alias("terminal_entry_id"),
-        last("parent_id", "terminal", task).alias("terminal_parent_id"),
-    ]
-    return e.groupBy("activity_id").agg(*aggs)
+    e = events.where(F.coalesce("activity_id", F.lit("")) != "")
+    kind = F.col("kind")
+    started, linked, terminal, task = (kind == k for k in ("started", "linked", "terminal", "task-notification"))
+
+    def last(field: str, sets):
+        return F.max_by(F.when(sets, F.col(field)), F.when(sets, F.col("ord")))
+
+    def filled(field: str):
+        return F.coalesce(F.col(field), F.lit("")) != ""
+
+    first = lambda c: F.min_by(c, "ord")
+    begun = last("started_at", started)
+    return e.groupBy("activity_id").agg(
+        first("source_path").alias("record_source_path"),
+        first("source_path").alias("parent_source_path"),
+        first("session_id").alias("parent_session_id"),
+        last("parent_activity_id", filled("parent_activity_id")).alias("parent_activity_id"),
+        last("session_file", linked & filled("session_file")).alias("child_session_path"),
+        last("status", started | terminal | task).alias("status"),
+        F.coalesce(F.nullif(begun, F.lit(0)), F.min_by(F.when(task, F.col("started_at")), F.when(task, F.col("ord"))), begun).alias("started_at"),
+        last("completed_at", terminal | (task & (F.coalesce("completed_at", F.lit(0)) != 0))).alias("completed_at"),
+        last("activity_kind", started | task).alias("kind"),
+        last("namespace", started | task).alias("namespace"),
+        last("title", started | (task & filled("title"))).alias("title"),
+        last("description", started | (task & filled("description"))).alias("description"),
+        last("model", started).alias("model"),
+        last("effort", started).alias("effort"),
+        last("result_summary", terminal | task).alias("result_summary"),
+        last("tool_uses", terminal).alias("tool_uses"),
+        last("entry_id", started).alias("start_entry_id"),
+        last("parent_id", started).alias("start_parent_id"),
+        last("entry_id", linked).alias("linked_entry_id"),
+        last("entry_id", terminal).alias("terminal_entry_id"),
+        last("parent_id", terminal).alias("terminal_parent_id"),
+    )
 
 
 def link_messages(messages: DataFrame, events: DataFrame) -> DataFrame:
@@ -133,16 +136,19 @@ def link_messages(messages: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def reconcile_attached(sessions: DataFrame, activities: DataFrame) -> DataFrame:
-    """activities, with one 'linked' row for every attached session with a parent that no activity names as child.
+    """activities, with one running activity for every attached session with a parent that no activity names as child.
 
-    The new activity is named by the session's id and belongs to the parent's source path.
+    The new activity is named by the session's id and belongs to the parent's source path; ids that exist are left alone,
+    and of several files of one session the first by path counts.
     """
     orphan = (
-        sessions.where((F.lower("visibility") == "attached") & (F.coalesce("parent_session", F.lit("")) != "") & (F.coalesce("session_id", F.lit("")) != ""))
+        sessions.where((F.col("visibility") == "attached") & (F.coalesce("parent_session", F.lit("")) != "") & (F.coalesce("session_id", F.lit("")) != ""))
         .join(activities.select(F.col("child_session_path").alias("source_path")).where(F.col("source_path").isNotNull()), "source_path", "left_anti")
         .join(activities.select(F.col("activity_id").alias("session_id")), "session_id", "left_anti")
-        .dropDuplicates(["session_id"])
+        .groupBy("session_id")
+        .agg(F.min(F.struct("source_path", "parent_session")).alias("s"))
+        .select("session_id", "s.source_path", "s.parent_session")
     )
-    new = {"activity_id": F.col("session_id"), "record_source_path": F.col("source_path"), "parent_source_path": F.col("parent_session"), "child_session_path": F.col("source_path"), "status": F.lit("linked")}
+    new = {"activity_id": F.col("session_id"), "record_source_path": F.col("source_path"), "parent_source_path": F.col("parent_session"), "child_session_path": F.col("source_path"), "status": F.lit("running")}
     cols = [(new.get(f.name, F.lit(None)).cast(f.dataType)).alias(f.name) for f in activities.schema.fields]
     return activities.unionByName(orphan.select(*cols))

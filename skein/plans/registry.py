@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.plans import data_quality, retrieval
+from skein.plans import data_quality, retrieval, secrets
 
-MODULES = (retrieval, data_quality)
+MODULES = (retrieval, secrets, data_quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

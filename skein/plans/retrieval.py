@@ -278,6 +278,6 @@ SELECT invocation_id, ts_ms FROM d WHERE {_has('o', 'fail')} > 0 AND {_bigram('o
     "tool_pairs_by_id": """SELECT r.result_id, arg_max(c.invocation_id, row(c.ts_ms, c.invocation_id)) AS invocation_id FROM tool_results r JOIN tool_invocations c ON c.session_id = r.session_id AND c.tool_id = r.tool_id AND c.ts_ms <= r.ts_ms
 WHERE r.session_id <> '' AND r.tool_id <> '' GROUP BY 1""",
     "attached_activities": """SELECT activity_id, parent_source_path, child_session_path, status FROM activities UNION ALL
-SELECT session_id, parent_session, source_path, 'linked' FROM sessions s WHERE lower(visibility) = 'attached' AND parent_session <> '' AND session_id <> ''
-AND NOT EXISTS (SELECT 1 FROM activities a WHERE a.child_session_path = s.source_path) AND NOT EXISTS (SELECT 1 FROM activities a WHERE a.activity_id = s.session_id) QUALIFY row_number() OVER (PARTITION BY session_id) = 1""",
+SELECT session_id, parent_session, source_path, 'running' FROM sessions s WHERE visibility = 'attached' AND parent_session <> '' AND session_id <> ''
+AND NOT EXISTS (SELECT 1 FROM activities a WHERE a.child_session_path = s.source_path) AND NOT EXISTS (SELECT 1 FROM activities a WHERE a.activity_id = s.session_id) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY source_path) = 1""",
 }
