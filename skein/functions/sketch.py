@@ -23,8 +23,7 @@ def fill_tables(df: DataFrame, fill: Callable[[Iterator[pa.RecordBatch]], list[n
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = fill(batches)
-        step = len(full[0]) // SLICES
-        cut = [[t[k * step : (k + 1) * step].tobytes() for k in range(SLICES)] for t in full]
+        cut = [[part.tobytes() for part in np.split(t, SLICES)] for t in full]
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), *(pa.array(c, pa.binary()) for c in cut)], ["slice", *names])
 
     def combine(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -36,4 +35,6 @@ def fill_tables(df: DataFrame, fill: Callable[[Iterator[pa.RecordBatch]], list[n
 
     cores = max(1, df.sparkSession.sparkContext.defaultParallelism)
     rows = sorted(df.coalesce(cores).mapInArrow(partial, schema).groupBy("slice").applyInPandas(combine, schema).collect())
+    if not rows:  # no partition at all
+        return fill(iter(()))
     return [np.concatenate([np.frombuffer(r[n], dtype) for r in rows]) for n in names]
