@@ -25,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -333,7 +334,7 @@ def redact(items: DataFrame, markers: list[Marker], columns: list[str]) -> DataF
             return "".join([*parts, text[at:]])
 
         @F.pandas_udf("string")
-        def cleaned(texts: "pd.Series") -> "pd.Series":  # noqa: F821
+        def cleaned(texts: pd.Series) -> pd.Series:
             return texts.map(lambda t, clean=clean: t if not t else clean(t))
 
         for c in columns:
