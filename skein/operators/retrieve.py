@@ -10,11 +10,13 @@ import math
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions.text import plain_tokens, prefix, stem_tokens
 from skein.plans import match as M
+from skein.sources.index import candidates
 from skein.sources.tables import table
 
 HOUR_MS = 3_600_000
@@ -59,6 +61,21 @@ class Corpus:
             return F.col(f"{source}_tokens")
         return stem_tokens(source) if self.stemming else plain_tokens(source)
 
+    @cached_property
+    def index(self) -> DataFrame | None:
+        """The postings, where the directory has them."""
+        try:
+            return self.read("postings")
+        except AnalysisException:
+            return None
+
+    def candidates(self, node: M.Node) -> DataFrame:
+        """The messages that hold a word of any phrase that counts: all hits, and all that the phrases' counts need."""
+        if self.index is None:
+            return self.messages
+        words = [w for p in M.phrases(node) for w in M.necessary(p)]
+        return self.messages.join(candidates(self.index, words), "seq", "left_semi")
+
     @property
     def analyze(self) -> M.Analyzer:
         return M.stemmed if self.stemming else M.plain
@@ -121,18 +138,24 @@ def noise(content_prefix: Column, prose_prefix: Column) -> Column:
     return F.when(out, 1).otherwise(0)
 
 
-def score(docs: DataFrame, node: M.Node) -> Column:
-    """The BM25 score of a row, from its column __f (Evaluator.features) and the statistics of all docs (same column).
+def score(corpus: Corpus, docs: DataFrame, node: M.Node) -> Column:
+    """The BM25 score of a row from its column __f (Evaluator.features).
 
-    One pass over docs counts documents, their mean size and the documents of every phrase; one row comes back.
+    docs: rows with __f that hold all documents of every phrase; one pass counts them and one row comes back. Without
+    an index docs is the whole corpus and gives its number and mean size as well; with one they are stored.
     """
     n = len(M.phrases(node))
-    stats = docs.agg(F.count("*").alias("n"), F.avg("__f.size").alias("mean"), *[F.count_if(F.col(f"__f.c{i}") > 0).alias(f"n{i}") for i in range(n)]).first()
+    counts = [F.count_if(F.col(f"__f.c{i}") > 0).alias(f"n{i}") for i in range(n)]
+    stats = docs.agg(F.count("*").alias("n"), F.avg("__f.size").alias("mean"), *counts).first()
+    total, mean = stats.n, stats.mean
+    if corpus.index is not None:
+        whole = corpus.read("corpus").first()
+        total, mean = whole.n, whole.words / max(1, whole.n)
     out = F.lit(0.0)
     for i in range(n):
-        idf = math.log((stats.n - stats[f"n{i}"] + 0.5) / (stats[f"n{i}"] + 0.5))
+        idf = math.log((total - stats[f"n{i}"] + 0.5) / (stats[f"n{i}"] + 0.5))
         tf = F.col(f"__f.c{i}").cast("double")
-        out = out - (idf if idf > 0 else IDF_FLOOR) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("__f.size") / (stats.mean or 1.0)))
+        out = out - (idf if idf > 0 else IDF_FLOOR) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("__f.size") / (mean or 1.0)))
     return out
 
 
@@ -164,13 +187,13 @@ def search(corpus: Corpus, o: SearchOptions, now_ms: int = 0) -> DataFrame:
         return corpus.messages.where(F.lit(False)).withColumns({"score": F.lit(0.0), "noise": F.lit(0), "rank": F.lit(0)})
     sources = {"content": corpus.token_column(corpus.messages, "content"), "prose": corpus.token_column(corpus.messages, "prose")}
     features = M.Evaluator.bind(sources, lambda ev: ev.features(node))
-    hits = in_scope(corpus.messages, corpus, o.scope, now_ms)
+    docs = corpus.candidates(node).withColumn("__f", features)
+    hits = in_scope(docs, corpus, o.scope, now_ms)
     if o.window > 0:
         whole = Scope(session=o.scope.session, exclude=o.scope.exclude, cwd=o.scope.cwd, hours=o.scope.hours)
         newest = in_scope(corpus.messages, corpus, whole, now_ms).orderBy(F.desc("ts_ms"), F.desc("seq")).limit(o.window).select("seq")
         hits = hits.join(newest, "seq", "left_semi")
-    hits = hits.withColumn("__f", features).where("__f.hit")
-    hits = hits.withColumn("score", score(corpus.messages.select(features.alias("__f")), node)).drop("__f", "content_tokens", "prose_tokens")
+    hits = hits.where("__f.hit").withColumn("score", score(corpus, docs.select("__f"), node)).drop("__f", "content_tokens", "prose_tokens")
     hits = hits.withColumn("noise", noise(prefix("content"), prefix("prose")))
     order = [*([F.asc("noise")] if o.reduce_noise else []), F.asc("score"), F.desc("ts_ms"), F.desc("seq")]
     if o.per_session > 0:

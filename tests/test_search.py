@@ -121,3 +121,17 @@ def test_excerpt_limits(text, n):
 def test_previews():
     assert preview_text(" a \n b ", 10) == "a b" and preview_text("abcdef", 3) == "abc…"
     assert sanitize("a\x1b[0m\nb\t") == "a\\u001b[0m\\nb\\t" and sanitize("a\nb", True) == "a\nb"
+
+
+@pytest.mark.parametrize("pattern,raw", [("alpha beta", False), ("display.cpp", False), ("deploy", False), ("a", False), ("alpha OR beta NOT gamma", True), ('"alpha beta" OR NEAR(gamma beta, 3)', True), ("zzz", False)])
+def test_index_gives_the_same(spark, docs, tmp_path, pattern, raw):
+    import shutil
+
+    from skein.sources.index import write_index
+
+    shutil.copytree(f"{docs.directory}/messages.parquet", tmp_path / "messages.parquet")
+    write_index(spark.read.parquet(f"{tmp_path}/messages.parquet"), str(tmp_path))
+    indexed = R.Corpus(spark, str(tmp_path), stemming=True)
+    o = R.SearchOptions(pattern, 0, raw=raw, scope=R.Scope())
+    rows = lambda c: [(r.seq, round(r.score, 9)) for r in R.search(c, o).collect()]
+    assert indexed.index is not None and rows(indexed) == rows(docs)
