@@ -38,6 +38,8 @@ PATTERNS = (
     ("secret_assignment", r"""(?i)(\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?token|client[_-]?secret)\s*[=:]\s*["']?)[A-Za-z0-9._~+/=-]{8,}""", "$1" + MARK, False),
     ("secret_query", r"""(?i)(\b(?:access_token|api_key|token|password|secret)=)[^&\s"']{8,}""", "$1" + MARK, True),
 )
+#: A text without any of these, in lower case, matches no pattern; looked for before the patterns run.
+HINTS = ("private key", "bearer", "://", "sk-", "ghp_", "github_pat_", "glpat-", "xox", "akia", "aiza", "eyj", "cf-access-client-secret", "api-key", "authorization", "token", "secret", "password", "passwd", "api_key", "apikey")
 SECRET_KEY = re.compile(r"(?i)token|secret|password|passwd|api[_-]?key|access[_-]?key|credential|private[_-]?key|signing[_-]?key|client[_-]?secret|auth[_-]?token")
 ENV_LINE = re.compile(r"^\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*=\s*(.*?)\s*$")
 SKIPPED_KEYS = frozenset(("thinkingSignature", "encrypted_content", "signature"))
@@ -72,10 +74,15 @@ def scrub(col: Column | str, values: Iterable[str] = ()) -> tuple[Column, dict[s
 
 def count_matches(df: DataFrame, text: str, keys: list[str], values: Iterable[str] = ()) -> DataFrame:
     """(keys, matches) summed over all patterns; only rows with matches."""
-    total = F.lit(0)
-    for n in scrub(text, list(values))[1].values():
+    values = list(values)
+    total, low, hinted = F.lit(0), F.lower(F.col(text)), F.lit(False)
+    for n in scrub(text, values)[1].values():
         total = total + n
-    return df.select(*keys, total.cast("bigint").alias("matches")).where(F.col("matches") > 0)
+    for h in HINTS:
+        hinted = hinted | low.contains(h)
+    for v in values:
+        hinted = hinted | F.col(text).contains(v)
+    return df.where(hinted).select(*keys, total.cast("bigint").alias("matches")).where(F.col("matches") > 0)
 
 
 # --- over records and files -------------------------------------------------------------------------------------------

@@ -27,6 +27,8 @@ def test_each_pattern_in_python_and_jvm(spark):
         clean, n = R.scrub_text(v, [])
         assert n >= 1 and (rows[k].clean, rows[k].n) == (clean, n), k
         assert "REDACTED" in clean
+    counted = {r.k: r.matches for r in R.count_matches(df, "t", ["k"]).collect()}
+    assert counted == {k: r.n for k, r in rows.items() if r.n}
     assert rows["none"].n == 0 and rows["null"].clean is None and rows["null"].n == 0 and rows["twice"].n == 2
 
 
