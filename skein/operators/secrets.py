@@ -38,8 +38,17 @@ PATTERNS = (
     ("secret_assignment", r"""(?i)(\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?token|client[_-]?secret)\s*[=:]\s*["']?)[A-Za-z0-9._~+/=-]{8,}""", "$1" + MARK, False),
     ("secret_query", r"""(?i)(\b(?:access_token|api_key|token|password|secret)=)[^&\s"']{8,}""", "$1" + MARK, True),
 )
-#: A text without any of these, in lower case, matches no pattern; looked for before the patterns run.
-HINTS = ("private key", "bearer", "://", "sk-", "ghp_", "github_pat_", "glpat-", "xox", "akia", "aiza", "eyj", "cf-access-client-secret", "api-key", "authorization", "token", "secret", "password", "passwd", "api_key", "apikey")
+#: What a text must hold, in lower case, for a pattern to match at all; looked for before the pattern runs.
+HINTS = {
+    "private_key": ("private key",),
+    "bearer": ("bearer",),
+    "basic_auth_url": ("://",),
+    "known_token": ("sk-", "ghp_", "github_pat_", "glpat-", "xox", "akia", "aiza"),
+    "jwt": ("eyj",),
+    "secret_header": ("cf-access-client-secret", "api-key", "authorization"),
+    "secret_assignment": ("token", "secret", "password", "passwd", "api_key", "api-key", "apikey"),
+    "secret_query": ("token=", "secret=", "password=", "api_key="),
+}
 SECRET_KEY = re.compile(r"(?i)token|secret|password|passwd|api[_-]?key|access[_-]?key|credential|private[_-]?key|signing[_-]?key|client[_-]?secret|auth[_-]?token")
 ENV_LINE = re.compile(r"^\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*=\s*(.*?)\s*$")
 SKIPPED_KEYS = frozenset(("thinkingSignature", "encrypted_content", "signature"))
@@ -61,28 +70,36 @@ def _steps(values: Iterable[str]) -> list[tuple[str, str, str]]:
     return out
 
 
-def scrub(col: Column | str, values: Iterable[str] = ()) -> tuple[Column, dict[str, Column]]:
-    """(the redacted column, matches by pattern). values: exact secrets, longest first."""
+def scrub(col: Column | str, values: Iterable[str] = (), hints: dict[str, Column] | None = None) -> tuple[Column, dict[str, Column]]:
+    """(the redacted column, matches by pattern). values: exact secrets, longest first. hints: where a pattern can match at all."""
     text = F.col(col) if isinstance(col, str) else col
+    hints = hinted(F.lower(text)) if hints is None else hints
     counts: dict[str, Column] = {}
     for name, java, new in _steps(values):
-        n = F.coalesce(F.regexp_count(text, F.lit(java)), F.lit(0))
+        may = hints.get(name, F.lit(True))
+        n = F.when(may, F.coalesce(F.regexp_count(text, F.lit(java)), F.lit(0))).otherwise(0)
         counts[name] = counts[name] + n if name in counts else n
-        text = F.regexp_replace(text, java, new)
+        text = F.when(may, F.regexp_replace(text, java, new)).otherwise(text)
     return text, counts
 
 
+def hinted(low: Column) -> dict[str, Column]:
+    """For each pattern whether a text, given in lower case, holds one of its hints."""
+    out = {}
+    for name, words in HINTS.items():
+        out[name] = low.contains(words[0])
+        for w in words[1:]:
+            out[name] = out[name] | low.contains(w)
+    return out
+
+
 def count_matches(df: DataFrame, text: str, keys: list[str], values: Iterable[str] = ()) -> DataFrame:
     """(keys, matches) summed over all patterns; only rows with matches."""
-    values = list(values)
-    total, low, hinted = F.lit(0), F.lower(F.col(text)), F.lit(False)
-    for n in scrub(text, values)[1].values():
+    seen = df.where(F.col(text).isNotNull()).withColumn("__low", F.lower(F.col(text))).withColumns({f"__{k}": v for k, v in hinted(F.col("__low")).items()})
+    total = F.lit(0)
+    for n in scrub(text, list(values), {k: F.col(f"__{k}") for k in HINTS})[1].values():
         total = total + n
-    for h in HINTS:
-        hinted = hinted | low.contains(h)
-    for v in values:
-        hinted = hinted | F.col(text).contains(v)
-    return df.where(hinted).select(*keys, total.cast("bigint").alias("matches")).where(F.col("matches") > 0)
+    return seen.select(*keys, total.cast("bigint").alias("matches")).where(F.col("matches") > 0)
 
 
 # --- over records and files -------------------------------------------------------------------------------------------
