@@ -131,11 +131,11 @@ service unavailable ⟦path⟧
 status 0 detail not found forbidden gone internal server error service unavailable gateway timeout bad gateway too many requests instance ⟦path⟧
 error code 0 message forbidden not found gone internal server error service unavailable gateway timeout too many requests unauthorized bad gateway request ⟦path⟧
 application error a server-side exception has occurred digest 0
-at ⟦path⟧ ⟦path⟧ 0
 access denied
 not authorized
 you do not have permission the rights to view open read this page link session resource file reference ⟦path⟧
 sorry uh-oh oops this requested page link resource file does not exist can't cannot be found it may have been moved
+sorry hmm uh-oh oops the requested that this document file link page session resource is no longer here it may have been moved check the address go back to the start page
 something broke failed went wrong on our side end please reload the page try again later incident ⟦path⟧
 sorry hmm oops this requested page link session resource could not be located found check the address go back to the start page
 request blocked unusual traffic detected wait 0 seconds
@@ -164,7 +164,7 @@ erreur 0 accès refusé
     "script": """
 please enable javascript scripts to view this page
 please enable turn on javascript scripts scripting to continue view this page open the session
-please activate javascript scripts scripting for full functionality to continue view this page run this app open the session
+please activate javascript scripts scripting for full functionality to continue view this page run use this app open the session viewer editor
 you need to switch turn on activate allow enable javascript scripts scripting for full functionality
 you need to switch turn on allow enable javascript scripts scripting to continue view this page use run open the session viewer app editor
 please allow javascript scripts and cookies to continue
@@ -243,7 +243,7 @@ def passages(text: str) -> list[str]:
 
 
 class Index:
-    """Exemplars by word. Only words of at most RARE of the documents are looked up; the others count once an exemplar is retrieved."""
+    """Exemplars by word. Words of at most RARE of the documents are looked up, or an exemplar's rarest where it has none; the others count once it is retrieved."""
 
     def __init__(self, idf: np.ndarray, rare: float, exemplars: dict[str, str] = EXEMPLARS):
         self.idf, self.kinds, self.words = idf, [], []
@@ -253,9 +253,10 @@ class Index:
                 i = len(self.words)
                 self.kinds.append(kind)
                 self.words.append(frozenset(tokens(line)))
-                for w in self.words[i]:
-                    if w == "⟦p⟧" or w[0] not in "0⟦" and idf[cell(w)] >= rare:
-                        self.post.setdefault(w, []).append(i)
+                plain = [w for w in self.words[i] if w[0] not in "0⟦"]
+                keys = [w for w in plain if idf[cell(w)] >= rare] + ["⟦p⟧"] * ("⟦p⟧" in self.words[i])
+                for w in keys or sorted(plain, key=lambda w: (-idf[cell(w)], w))[:1]:
+                    self.post.setdefault(w, []).append(i)
         self.rare_words = frozenset(w for w in self.post if w != "⟦p⟧")
 
     def weight(self, word: str) -> float:
