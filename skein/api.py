@@ -102,42 +102,47 @@ class Service:
         return R.Corpus(self.spark, folder, stemming=True)
 
     @staticmethod
-    def _rows(df: DataFrame) -> list[dict[str, Any]]:
-        return [r.asDict(recursive=True) for r in df.drop("content_tokens", "prose_tokens", "tool_calls", "tool_results").collect()]
+    def _rows(df: DataFrame, p: Params | None = None) -> list[dict[str, Any]]:
+        """The page's rows; where short previews are asked for, only the stored prefixes of the bodies are read."""
+        if p and not p.full and 0 < p.length <= COMPACT and "content_prefix" in df.columns:
+            df = df.withColumns({"content": F.col("content_prefix"), "prose": F.col("prose_prefix")})
+        return [r.asDict(recursive=True) for r in df.drop("content_tokens", "prose_tokens", "content_prefix", "prose_prefix", "tool_calls", "tool_results").collect()]
 
     def last(self, p: Params, now_ms: int) -> dict[str, Any]:
         n = 0 if p.limit < 0 and p.hours else p.count("last")
         c = self.corpus()
-        rows = self._rows(R.lineage(c, R.last(c, n, p.scope(), now_ms)).orderBy(F.desc("ts_ms"), F.desc("seq")))
+        rows = self._rows(R.lineage(c, R.last(c, n, p.scope(), now_ms)).orderBy(F.desc("ts_ms"), F.desc("seq")), p)
         return response(rows, p.length, p.budget, p.full, not p.all)
 
-    def _search(self, p: Params, command: str, now_ms: int) -> tuple[list[dict[str, Any]], DataFrame, bool, bool]:
+    def _search(self, c: R.Corpus, p: Params, command: str, now_ms: int) -> tuple[list[dict[str, Any]], DataFrame, bool, bool]:
         n = p.count(command)
         o = R.SearchOptions(p.pattern, n + 1 if n else 0, p.any, p.raw, p.scope(), p.window, p.per_session, p.reduce_noise)
-        page, relaxed = R.search_relaxed(self.corpus(), o, now_ms)
+        page, relaxed = R.search_relaxed(c, o, now_ms)
         rows = self._rows(page.orderBy("rank"))
         more = bool(n) and len(rows) > n
         return (rows[:n] if n else rows), page.where(F.col("rank") <= n) if n else page, more, relaxed
 
     def search(self, p: Params, now_ms: int) -> dict[str, Any]:
-        rows, _, more, relaxed = self._search(p, "search", now_ms)
+        rows, _, more, relaxed = self._search(self.corpus(), p, "search", now_ms)
         for r in rows:
             r["preview"] = highlight((r["prose"] if not p.all else r["content"]) or "", p.pattern, p.length) or None
         return response(rows, p.length, p.budget, p.full, not p.all, more, relaxed)
 
     def read(self, p: Params) -> dict[str, Any]:
         before, after = (5 if x < 0 else x for x in (p.before, p.after))
-        return response(self._rows(R.around(self.corpus(), p.id, before, after, not p.all)), p.length, p.budget, p.full, not p.all)
+        return response(self._rows(R.around(self.corpus(), p.id, before, after, not p.all), p), p.length, p.budget, p.full, not p.all)
 
     def context(self, p: Params, now_ms: int) -> dict[str, Any]:
         before, after = 3 if p.before < 0 else p.before, 8 if p.after < 0 else p.after
-        rows, page, more, relaxed = self._search(p, "context", now_ms)
-        near = self._rows(R.context(self.corpus(), page, before, after, not p.all)) if rows else []
+        c = self.corpus()  # hits and neighbours from one snapshot
+        rows, page, more, relaxed = self._search(c, p, "context", now_ms)
+        near = self._rows(R.context(c, page, before, after, not p.all), p) if rows else []
         whole = response(near, p.length, p.budget, p.full, not p.all, more, relaxed)
         return whole | {"hits": response(rows, p.length, 0, p.full, not p.all)["results"]}
 
     def sessions(self, p: Params) -> dict[str, Any]:
-        ask = lambda any_: R.sessions(self.corpus(), p.pattern, p.count("sessions"), p.cwd, p.exclude_session, any_).collect()
+        c = self.corpus()
+        ask = lambda any_: R.sessions(c, p.pattern, p.count("sessions"), p.cwd, p.exclude_session, any_).collect()
         rows = ask(p.any)
         if not rows and len(p.pattern.split()) > 1 and not p.any:
             rows = ask(True)
