@@ -1,8 +1,8 @@
 """Template residue and error-page text: TF-IDF containment of passage windows in labelled exemplars.
 
 1. Document frequencies of all words over the whole corpus, in a table of hashed counts of fixed size.
-2. Labelled exemplars (EXEMPLARS) in an inverted index from word to exemplar. Placeholders of all usual styles
-   are one word, numbers another.
+2. Labelled exemplars (EXEMPLARS) in an inverted index from word to exemplar; every plain word has a posting,
+   however frequent. Placeholders of all usual styles are one word, numbers another.
 3. A document is cut into passages (lines, and sentences of long lines). A passage's containment in an exemplar
    is the share of its TF-IDF weight that the exemplar holds. Passages that belong to menus, footers and cookie
    bars are set aside.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,10 +32,6 @@ from skein.functions.sketch import SLICES, fill_tables
 CELLS = 1 << 18
 #: A passage is residue from this containment on, a document from this coverage on.
 CONTAINMENT, COVERAGE = 0.66, 0.3
-#: Lines of so few words may turn out to be menus and leave the count.
-MENU_WORDS = 12
-#: Words in more than this part of the documents retrieve no exemplar.
-RARE = 0.03
 #: Weight of placeholders, numbers and paths.
 MARK_WEIGHT = 2.0
 
@@ -196,6 +193,8 @@ _MARKS = ("{", "[", "<", "%", "__", "«", "@@")
 #: What people type into a field that they don't fill.
 _UNFILLED = (": TBD", ": TODO", ": ...", ": …", ": coming soon", ": fill me in", ": n/a yet", ": to be written", ": n/a", ": xxx")
 _PATH = re.compile(r"(?:[\w.-]+)?(?:/[\w.-]+)+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,8}\b|\b[a-z_]+\.[a-z_]+\b|\b(?=[a-f]*\d)[0-9a-f]{6,}\b")
+#: Without one of these a line holds no path, file, host or hash.
+_PATHLIKE = re.compile(r"/|\.[a-z_]|[0-9a-f]{6}")
 _WORD = re.compile(r"⟦p⟧|⟦path⟧|[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+")
 _MENU = re.compile(r"^\s*(?:©|\(c\)|copyright\b)|^\s*(?:[-*•]\s*)?[^|/.:\n]{1,25}(?:\s+[|/]\s+[^|/.:\n]{1,25})+\s*$", re.I)
 #: A line of a stack trace: it says nothing about where the text comes from and is set aside.
@@ -208,7 +207,9 @@ def marked(text: str) -> str:
     text = text.rstrip()
     if text.endswith(_UNFILLED):
         text = text[: text.rindex(": ")] + ": ⟦p⟧"
-    return _PATH.sub("⟦path⟧", _PLACEHOLDER.sub(" ⟦p⟧ ", text) if any(m in text for m in _MARKS) else text)
+    if any(m in text for m in _MARKS):
+        text = _PLACEHOLDER.sub(" ⟦p⟧ ", text)
+    return _PATH.sub("⟦path⟧", text) if _PATHLIKE.search(text) else text
 
 
 def unfilled(line: str) -> bool:
@@ -242,44 +243,61 @@ def passages(text: str) -> list[str]:
     return out
 
 
+class Weights(dict):
+    """Weights of words, looked up once."""
+
+    def __init__(self, idf: np.ndarray):
+        self.idf = idf
+
+    def __missing__(self, word: str) -> float:
+        weight = MARK_WEIGHT if word[0] in "0⟦" else float(self.idf[cell(word)])
+        if len(self) < 200_000:
+            self[word] = weight
+        return weight
+
+
 class Index:
-    """Exemplars by word. Words of at most RARE of the documents are looked up, or an exemplar's rarest where it has none; the others count once it is retrieved."""
+    """Exemplars by word. Every plain word and the placeholder retrieve; numbers and paths only count once an exemplar is retrieved."""
 
-    def __init__(self, idf: np.ndarray, rare: float, exemplars: dict[str, str] = EXEMPLARS):
-        self.idf, self.kinds, self.words = idf, [], []
+    def __init__(self, idf: np.ndarray, exemplars: dict[str, str] = EXEMPLARS):
+        self.weights, self.kinds = Weights(idf), []
         self.post: dict[str, list[int]] = {}
         for kind, lines in exemplars.items():
             for line in lines.strip().splitlines():
-                i = len(self.words)
+                for w in set(tokens(line)):
+                    self.post.setdefault(w, []).append(len(self.kinds))
                 self.kinds.append(kind)
-                self.words.append(frozenset(tokens(line)))
-                plain = [w for w in self.words[i] if w[0] not in "0⟦"]
-                keys = [w for w in plain if idf[cell(w)] >= rare] + ["⟦p⟧"] * ("⟦p⟧" in self.words[i])
-                for w in keys or sorted(plain, key=lambda w: (-idf[cell(w)], w))[:1]:
-                    self.post.setdefault(w, []).append(i)
-        self.rare_words = frozenset(w for w in self.post if w != "⟦p⟧")
-
-    def weight(self, word: str) -> float:
-        return MARK_WEIGHT if word[0] in "0⟦" else float(self.idf[cell(word)])
+        self.keys = frozenset(w for w in self.post if w[0] not in "0⟦")
+        self.retrieving = self.keys | ({"⟦p⟧"} & self.post.keys())
 
     def best(self, words: list[str]) -> tuple[float, str]:
-        """(containment, kind) of the retrieved exemplar that holds most of the words' weight."""
-        tf: dict[str, int] = {}
-        for w in words:
-            tf[w] = tf.get(w, 0) + 1
-        found = {i for w in tf for i in self.post.get(w, ())}
-        if not found:
+        """(containment, kind) of the retrieved exemplar that holds most of the words' weight; 0 where none can reach CONTAINMENT."""
+        if self.retrieving.isdisjoint(words):
             return 0.0, ""
-        weights = {w: self.weight(w) * (1 + math.log(n)) for w, n in tf.items()}
+        weight, post = self.weights, self.post
+        weights = {w: weight[w] for w in words}
+        if len(weights) < len(words):
+            weights = {w: weight[w] * (1 + math.log(n)) for w, n in Counter(words).items()}
         total = sum(weights.values())
-        score, at = max((sum(x for w, x in weights.items() if w in self.words[i]), -i) for i in found)
+        # no exemplar holds more than what all of them hold together
+        if sum([x for w, x in weights.items() if w in post]) < CONTAINMENT * total * (1 - 1e-9):
+            return 0.0, ""
+        scores: dict[int, float] = {}
+        found: set[int] = set()
+        for w, x in weights.items():
+            at = post.get(w, ())
+            for i in at:
+                scores[i] = scores.get(i, 0.0) + x
+            if w in self.retrieving:
+                found.update(at)
+        score, at = max((scores[i], -i) for i in found)
         return score / total, self.kinds[-at]
 
 
 def coverage(text: str, index: Index, least: float = COVERAGE) -> tuple[float, str]:
     """(share of the words outside menus and traces that lie in residue passages, the kind most of them are of).
 
-    0 where less than `least` can be reached: only lines that retrieve an exemplar at all can be covered.
+    0 where less than `least` can be reached: only lines that retrieve an exemplar at all can be covered or turn out to be menus.
     """
     words, lines = 0, []
     for line in text.splitlines():
@@ -287,19 +305,24 @@ def coverage(text: str, index: Index, least: float = COVERAGE) -> tuple[float, s
             continue
         found = _WORD.findall(line.lower())
         words += len(found)
-        if found and (not index.rare_words.isdisjoint(found) or unfilled(line)):
-            lines.append((line, len(found)))
-    if not lines or sum(n for _, n in lines) < least * (words - sum(n for _, n in lines if n <= MENU_WORDS)):
+        if found and (not index.keys.isdisjoint(found) or unfilled(line) or any(u in line for u in _UNFILLED)):
+            lines.append((line, found))
+    # what can still be covered; less than `least` of all words stays less when menus leave the count
+    open_, enough = sum(len(found) for _, found in lines), least * words
+    if not lines or open_ < enough:
         return 0.0, ""
     covered = 0
     kinds: dict[str, int] = {}
-    for line, n in lines:
-        for p in passages(line):
-            ts = tokens(marked(p))
+    for line, found in lines:
+        parts = passages(line)
+        for p in parts:
+            raw = found if len(parts) == 1 else _WORD.findall(p.lower())
+            size = len(raw)
+            m = marked(p)
+            ts = ["0" if t[0].isdigit() else t for t in raw] if m == p.rstrip() else tokens(m)
             if not ts:
                 continue
             c, kind = index.best(ts)
-            size = len(_WORD.findall(p.lower()))
             if kind == "menu" and c >= CONTAINMENT:
                 words -= size
                 continue
@@ -308,6 +331,10 @@ def coverage(text: str, index: Index, least: float = COVERAGE) -> tuple[float, s
             if c >= CONTAINMENT:
                 covered += size
                 kinds[kind] = kinds.get(kind, 0) + size
+                continue
+            open_ -= size
+            if open_ < enough:
+                return 0.0, ""
     return (covered / words, max(kinds, key=lambda k: (kinds[k], k))) if kinds and words else (0.0, "")
 
 
@@ -332,11 +359,10 @@ def residue(documents: DataFrame, least: float = COVERAGE) -> DataFrame:
     """(doc_id, coverage, kind): the documents of high coverage. documents: doc_id, text."""
     df, n = document_frequencies(documents)
     idf = np.log((n + 1) / (df + 1)) + 0.1
-    rare = float(np.log(1 / RARE))
     shared = documents.sparkSession.sparkContext.broadcast(idf.astype(np.float32))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value, rare)
+        index = Index(shared.value)
         for b in batches:
             rows = [(d.as_py(), *coverage(t.as_py(), index, least)) for d, t in zip(b.column(0), b.column(1)) if t.as_py()]
             rows = [r for r in rows if r[1] >= least]

@@ -1,5 +1,6 @@
 """Splitting, personal information, leaks and residue."""
 
+import itertools
 import random
 
 import numpy as np
@@ -104,3 +105,31 @@ def test_residue(spark):
     assert got[len(real)] == "error" and got[len(real) + 1] == "form" and got[len(real) + 2] == "script"
     assert R.residue(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     assert np.isfinite(R.cell("x"))
+
+
+def test_residue_as_a_third_of_the_rows(spark):
+    real = [f"Report {w}: the router reads twice from the cache, and nobody noticed {w} before the parser was slow." for w in ("".join(c) for c in itertools.product("wyzqkvj", repeat=3))]
+    for text in ("Lorem ipsum dolor sit amet, consectetur adipiscing elit", "Menu\nClose\n\nOops! This file is no longer here.\n\n© 2024 pages", "Please enable JavaScript to view this page."):
+        for copies in (1, len(real) // 28, len(real) // 2):
+            rows = list(enumerate(real + [text] * copies))
+            got = {r.doc_id for r in R.residue(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+            assert got == set(range(len(real), len(rows))), (text, copies)
+
+
+def test_residue_retrieval_against_all_exemplars():
+    rng = random.Random(6)
+    idf = np.array([rng.choice([0.1, 0.2, 1.0, 6.0]) for _ in range(1 << 12)], np.float32)
+    idf = np.tile(idf, R.CELLS // len(idf))
+    index = R.Index(idf)
+    lines = [(k, set(R.tokens(x))) for k, text in R.EXEMPLARS.items() for x in text.strip().splitlines()]
+    vocab = sorted(set().union(*(x for _, x in lines)) | {"router", "cache", "parser"})
+    reached = 0
+    for _ in range(2000):
+        words = rng.choices(sorted(rng.choice(lines)[1]), k=rng.randrange(1, 9)) + rng.choices(vocab, k=rng.randrange(0, 3))
+        weights = {w: (R.MARK_WEIGHT if w[0] in "0⟦" else float(idf[R.cell(w)])) * (1 + np.log(words.count(w))) for w in words}
+        share = [sum(x for w, x in weights.items() if w in held) / sum(weights.values()) for _, held in lines if any(w in held for w in words if w[0] != "0" and w != "⟦path⟧")]
+        want = max(share, default=0.0)
+        got = index.best(words)[0]
+        assert abs(got - want) < 1e-9 if want >= R.CONTAINMENT else got < R.CONTAINMENT
+        reached += want >= R.CONTAINMENT
+    assert reached > 500
