@@ -11,9 +11,9 @@
    label or stand in a trusted context.
 4. Redaction. Marked spans become [EMAIL], [PHONE], [ID_NUMBER], [ADDRESS] or [PERSON]; all else is unchanged.
 
-What was learned (trusted contexts and name parts) is handed to the second pass in blocks of at most MAX_LEXICON
-entries: a context or name part is in one block, the name parts of all blocks are small words, and several blocks
-mean several passes whose marks are united. Texts are read whole.
+What was learned (trusted contexts and name parts) is broadcast to the second pass where it has at most MAX_LEXICON
+entries. A larger lexicon stays a table: every text asks it by join for the name parts it holds, then for the
+contexts those leave open, and is marked once by all the entries found, with the same result. Texts are read whole.
 
 Defined results: null and empty texts hold nothing and stay as they are; repeated rows are each marked; spans
 that overlap count as the longer one; other columns are kept untouched.
@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -38,7 +38,7 @@ ROUNDS = 3
 TRUST, SUPPORT = 0.6, 3
 #: A name part is known from this score on.
 KNOWN = 0.6
-#: Entries of one block of what was learned.
+#: Entries of what was learned that are broadcast; more stay a table that texts are joined with.
 MAX_LEXICON = 1_000_000
 
 # Seeds. Given names that are common in many countries.
@@ -270,73 +270,156 @@ def _version_like(email: str) -> bool:
     return host[:1].isdigit() or email.lower().startswith("git@")
 
 
-def _blocks(contexts: DataFrame, parts: DataFrame, most: int) -> Iterator[Marker]:
-    """What was learned, in blocks of at most `most` contexts or name parts."""
-    rows = contexts.select("kind", F.col("context").alias("what")).unionByName(parts.select("kind", F.col("part").alias("what")))
-    ctx, given, surname, n = set(), set(), set(), 0
-    for r in rows.toLocalIterator(prefetchPartitions=True):
-        if r.kind == "given":
-            given.add(r.what)
-        elif r.kind == "surname":
-            surname.add(r.what)
+class Lexicon:
+    """What was learned as a table (kind, what) of distinct entries, for any number of them."""
+
+    def __init__(self, entries: DataFrame):
+        self.entries = entries
+
+    def known(self, texts: DataFrame) -> DataFrame:
+        """(__h, __known): the entries that texts (a column text) can ask for, by the text's hash.
+
+        Texts that share a hash share entries; more entries than a text asks for change nothing.
+        """
+        texts = texts.where(F.col("text") != "").select(F.xxhash64("text").alias("__h"), "text")
+        parts = materialize(self._held(texts.mapInArrow(_asking(_parts_asked), _ASKED)), "parts")
+        rest = self._held(_with_known(texts, parts).mapInArrow(_asking(_rest_asked), _ASKED))
+        return _together(parts.unionByName(rest))
+
+    def _held(self, asked: DataFrame) -> DataFrame:
+        return asked.distinct().join(self.entries, ["kind", "what"], "left_semi").select("__h", "kind", "what")
+
+
+_ASKED = "__h bigint, kind string, what string"
+
+
+def _together(found: DataFrame) -> DataFrame:
+    return found.groupBy("__h").agg(F.collect_set(F.struct("kind", "what")).alias("__known"))
+
+
+def _with_known(texts: DataFrame, found: DataFrame) -> DataFrame:
+    return texts.join(_together(found), "__h", "left").select("__h", "text", "__known")
+
+
+def _marker(entries: Iterable[dict] | None) -> Marker:
+    """A marker of (kind, what)."""
+    ctx, given, surnames = set(), set(), set()
+    for e in entries if entries is not None else ():
+        kind, what = e["kind"], e["what"]
+        if kind == "given":
+            given.add(what)
+        elif kind == "surname":
+            surnames.add(what)
         else:
-            ctx.add((r.kind, r.what))
-        n += 1
-        if n >= most:
-            yield Marker(ctx, given, surname)
-            ctx, given, surname, n = set(), set(), set(), 0
-    yield Marker(ctx, given, surname)
+            ctx.add((kind, what))
+    return Marker(ctx, given, surnames)
+
+
+def _parts_asked(text: str, marker: Marker) -> Iterator[tuple[str, str]]:
+    """The name parts that Marker.spans may look up, but for surnames in lower case."""
+    for m in NAME.finditer(text):
+        given, surnames = name_parts(m)
+        if given:
+            yield "given", given
+        for s in surnames:
+            yield "surname", s
+    for m in _LOWER_WORD.finditer(text):
+        if _LOWER.match(text, m.start()):
+            yield "given", m[0]
+
 
+def _rest_asked(text: str, marker: Marker) -> Iterator[tuple[str, str]]:
+    """What Marker.spans may look up besides, once the text's name parts are known."""
+    for m in ID_WEAK.finditer(text):
+        for c in context(text, *m.span()):
+            yield "id_number", c
+    for m in NAME.finditer(text):
+        given, surnames = name_parts(m)
+        if not given or given not in marker.given and any(s in marker.surnames for s in surnames):
+            for c in context(text, *m.span()):
+                yield "person", c
+    for m in _LOWER_WORD.finditer(text):
+        if m[0] in marker.given and (n := _LOWER.match(text, m.start())):
+            yield "surname", n[2]
+            for c in context(text, *n.span()):
+                yield "person", c
 
-def learn(texts: DataFrame, most: int = MAX_LEXICON) -> list[Marker]:
-    """Markers from all texts (column text): normally one."""
+
+def _asking(ask: Callable[[str, Marker], Iterator[tuple[str, str]]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(__h, text[, __known]) to what the texts ask for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(b.column(0)[i].as_py(), *x) for i, t in enumerate(b.column(1)) for x in set(ask(t.as_py(), _marker(b.column(2)[i].as_py() if b.num_columns > 2 else None)))]
+            h, kind, what = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(kind, pa.string()), pa.array(what, pa.string())], ["__h", "kind", "what"])
+
+    return run
+
+
+def learn(texts: DataFrame, most: int = MAX_LEXICON) -> list[Marker] | Lexicon:
+    """What all texts (column text) teach: one marker, or the lexicon as a table where it has more than `most` entries."""
     graph = materialize(gather(texts), "counts")
-    return list(_blocks(*bootstrap(graph), most))
+    contexts, parts = bootstrap(graph)
+    entries = materialize(contexts.select("kind", F.col("context").alias("what")).unionByName(parts.select("kind", F.col("part").alias("what"))), "lexicon")
+    if entries.limit(most + 1).count() > most:
+        return Lexicon(entries)
+    return [_marker(r.asDict() for r in entries.toLocalIterator(prefetchPartitions=True))]
+
 
+def _marks(items: DataFrame, learned: list[Marker] | Lexicon, column: str) -> tuple[DataFrame, Callable]:
+    """(items with a last column __known, marks): marks(text, known) are the spans of a text of this column."""
+    if isinstance(learned, Lexicon):
+        known = learned.known(items.select(F.col(column).alias("text")))
+        keyed = items.withColumn("__h", F.when(F.col(column) != "", F.xxhash64(column)))
+        return keyed.join(known, "__h", "left").select(*(F.col(f"`{c}`") for c in items.columns), "__known"), lambda text, known: _marker(known).spans(text)
+    (marker,) = learned
+    shared = items.sparkSession.sparkContext.broadcast(marker)
+    return items.withColumn("__known", F.lit(None).cast("array<struct<kind:string,what:string>>")), lambda text, known: shared.value.spans(text)
 
-def mentions(items: DataFrame, keys: list[str], markers: list[Marker]) -> DataFrame:
+
+def mentions(items: DataFrame, keys: list[str], learned: list[Marker] | Lexicon) -> DataFrame:
     """(keys, start, end, kind): the marked spans of items (keys, text), in code points."""
     schema = ", ".join(f"`{k}` {items.schema[k].dataType.simpleString()}" for k in keys)
-    n, out = len(keys), None
-    for marker in markers:
-        shared = items.sparkSession.sparkContext.broadcast(marker)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            mark = shared.value.spans
-            for b in batches:
-                at, start, end, kind = [], [], [], []
-                for i, t in enumerate(b.column(n)):
-                    text = t.as_py()
-                    for s, e, k in mark(text) if text else ():
-                        at.append(i)
-                        start.append(s)
-                        end.append(e)
-                        kind.append(k)
-                take = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays([*(b.column(j).take(take) for j in range(n)), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(kind, pa.string())], [*keys, "start", "end", "kind"])
-
-        part = items.select(*keys, "text").mapInArrow(run, f"{schema}, start int, end int, kind string")
-        out = part if out is None else out.unionByName(part)
-    return out
+    n = len(keys)
+    ready, marks = _marks(items.select(*keys, "text").where(F.col("text") != ""), learned, "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, start, end, kind = [], [], [], []
+            for i, t in enumerate(b.column(n)):
+                for s, e, k in marks(t.as_py(), b.column(n + 1)[i].as_py()):
+                    at.append(i)
+                    start.append(s)
+                    end.append(e)
+                    kind.append(k)
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(j).take(take) for j in range(n)), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(kind, pa.string())], [*keys, "start", "end", "kind"])
+
+    return ready.mapInArrow(run, f"{schema}, start int, end int, kind string")
+
+
+def _cleaner(marks: Callable) -> Callable:
+    """A function of a text column and what is known of it, to the redacted texts."""
+
+    def clean(text: str, known: list[dict] | None) -> str:
+        parts, at = [], 0
+        for s, e, kind in marks(text, known):
+            parts += [text[at:s], f"[{kind.upper()}]"]
+            at = e
+        return "".join([*parts, text[at:]])
+
+    @F.pandas_udf("string")
+    def cleaned(texts: pd.Series, known: pd.Series) -> pd.Series:
+        return pd.Series([t if not t else clean(t, k) for t, k in zip(texts, known)], dtype=object)
+
+    return cleaned
 
 
-def redact(items: DataFrame, markers: list[Marker], columns: list[str]) -> DataFrame:
+def redact(items: DataFrame, learned: list[Marker] | Lexicon, columns: list[str]) -> DataFrame:
     """items with the given text columns redacted; all other columns are left as they are."""
     out = items
-    for marker in markers:
-        shared = items.sparkSession.sparkContext.broadcast(marker)
-
-        def clean(text: str, shared=shared) -> str:
-            parts, at = [], 0
-            for s, e, kind in shared.value.spans(text):
-                parts += [text[at:s], f"[{kind.upper()}]"]
-                at = e
-            return "".join([*parts, text[at:]])
-
-        @F.pandas_udf("string")
-        def cleaned(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t, clean=clean: t if not t else clean(t))
-
-        for c in columns:
-            out = out.withColumn(c, cleaned(c))
+    for c in columns:
+        out, marks = _marks(out, learned, c)
+        out = out.withColumn(c, _cleaner(marks)(F.col(c), F.col("__known"))).drop("__known")
     return out

@@ -133,3 +133,13 @@ def test_residue_retrieval_against_all_exemplars():
         assert abs(got - want) < 1e-9 if want >= R.CONTAINMENT else got < R.CONTAINMENT
         reached += want >= R.CONTAINMENT
     assert reached > 500
+
+
+def test_large_lexicon_changes_nothing(spark):
+    texts = pii_corpus() + ["the ticket was opened by Unheardof Vormoor today", "opened by brelda dramsen today", "opened by brelda unheardof today", "the ticket was opened by B. Unheard today", "then Kelsen, Brelda left, call (360) 555-0186"] * 2
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "k bigint, text string, kind string")
+    few, many = P.learn(df), P.learn(df, most=3)
+    spans = [sorted((r.k, r.start, r.end, r["kind"]) for r in P.mentions(df, ["k"], x).collect()) for x in (few, many)]
+    assert spans[0] == spans[1] and len(spans[0]) > 400
+    assert [r for r in spans[0] if r[0] == len(pii_corpus()) and r[3] == "person"]
+    assert sorted(map(str, P.redact(df, few, ["text"]).collect())) == sorted(map(str, P.redact(df, many, ["text"]).collect()))
