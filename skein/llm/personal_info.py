@@ -105,7 +105,7 @@ ADDRESS_HINTS = (
     "rue ", "avenue ", "place ", "chemin ", "quai ", "allée ", "impasse ", "boulevard ", "cours ", "route ", "square ", "passage ",
 )
 ID_HINTS = ("ssn", "social security", "tax id", "tax number", "tin", "passport", "id card", "identity card", "dni", "nie", "nif", "cpf", "steuer", "ausweis", "reisepass", "ni number", "nino", "insurance", "nhs", "licen", "führerschein", "sécurité sociale", "identité", "passeport", "permis", "pasaporte", "carné", "seguridad social")
-EMAIL_HINTS = ("@", "%40", "[at]", "(at)", "{at}", "[AT]", "(AT)")
+EMAIL_HINTS = ("@", "%40", "[at]", "(at)", "{at}")
 _DIGITS = re.compile(r"\d[\d ().\-/]{6,}\d")
 
 _W = r"[A-ZÄÖÜÉÁÍÓÚÑÇ](?:['’][A-Z])?[a-zäöüßéèêáíóúñç]+"
@@ -151,7 +151,7 @@ def candidates(text: str) -> Iterator[tuple[str, str, str, bool]]:
                 yield "person", c, given, False
             for s in surnames:
                 yield "surname", given, s, False
-    labelled = [m.span(1) for m in ID_LABELLED.finditer(text)] if _hinted(ID_HINTS, text.lower()) else []
+    labelled = [m.span(1) for m in ID_LABELLED.finditer(text)] if _hinted(ID_HINTS, _lowered(text)) else []
     labelled += [m.span() for m in ID_FORMAT.finditer(text)]
     for a, b in labelled:
         yield "id_number", context(text, a, b)[0], "seed", True
@@ -222,14 +222,15 @@ class Marker:
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """Non-overlapping (start, end, kind) in order; of overlapping ones the longer stays."""
         found: list[tuple[int, int, str]] = []
-        if _hinted(EMAIL_HINTS, text) or " at " in text and " dot " in text:
+        low = _lowered(text)
+        if _hinted(EMAIL_HINTS, low) or " at " in low and "dot" in low:
             for m in EMAIL.finditer(text):
                 if not _version_like(m[0]):
                     found.append((*m.span(), "email"))
         if _hinted(ADDRESS_HINTS, text):
             for m in ADDRESS.finditer(text):
                 found.append((*m.span(), "address"))
-        if _hinted(ID_HINTS, text.lower()):
+        if _hinted(ID_HINTS, low):
             for m in ID_LABELLED.finditer(text):
                 if sum(c.isdigit() for c in m[1]) >= 5:
                     found.append((*m.span(1), "id_number"))
@@ -264,6 +265,14 @@ def _hinted(hints: tuple[str, ...], text: str) -> bool:
     return any(h in text for h in hints)
 
 
+def _lowered(text: str) -> str:
+    """The text in lower case, with the letters that patterns without case take for s, i or k as these."""
+    return (text if text.isascii() else text.translate(_SAME)).lower()
+
+
+_SAME = str.maketrans("ſıİK", "siik")
+
+
 def _version_like(email: str) -> bool:
     """name@1.2.3 and repository remotes are no addresses."""
     host = re.split(r"@|%40", email)[-1]

@@ -143,3 +143,20 @@ def test_large_lexicon_changes_nothing(spark):
     assert spans[0] == spans[1] and len(spans[0]) > 400
     assert [r for r in spans[0] if r[0] == len(pii_corpus()) and r[3] == "person"]
     assert sorted(map(str, P.redact(df, few, ["text"]).collect())) == sorted(map(str, P.redact(df, many, ["text"]).collect()))
+
+
+def test_every_form_is_hinted():
+    marker = P.Marker(set(), set(), set())
+    for text in ("jo at mail (dot) example", "jo at mail [dot] example", "JO AT MAIL DOT EXAMPLE", "jo [At] mail.example", "jo {AT} mail.example", "jo (aT) mail (Dot) example"):
+        assert [k for *_, k in marker.spans(f"write to {text} now")] == ["email"], text
+    assert [k for *_, k in marker.spans("PaſſPort no. ZY5049387".replace("ſſ", "sſ"))] == ["id_number"]
+    assert [k for *_, k in marker.spans("in Altes Ufer 12, 10115 Stadt")] == ["address"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["jo", "Mail", "x.example", " at ", " [At] ", "(AT)", "{at}", "@", "%40", " dot ", " (DOT) ", " [dot] ", "TIN", "tİn", " ", ": ", "12", "10115", "Altes ", "Ufer ", "Weg ", "Stadt", "rue ", ", "]), max_size=14).map("".join))
+def test_every_match_is_hinted(text):
+    low = P._lowered(text)
+    assert not P.EMAIL.search(text) or P._hinted(P.EMAIL_HINTS, low) or " at " in low and "dot" in low
+    assert not P.ID_LABELLED.search(text) or P._hinted(P.ID_HINTS, low)
+    assert not P.ADDRESS.search(text) or P._hinted(P.ADDRESS_HINTS, text)
