@@ -1,7 +1,7 @@
 """Splitting oversized texts at natural boundaries by recursive bisection.
 
-A text over the limit is cut at the strongest boundary near its midpoint (paragraph, line, sentence, word; any
-place if there is none), and halves that still exceed the limit less the overlap are cut again. Then each piece
+A text over the limit is cut at the strongest boundary near its midpoint (paragraph, line, sentence, word; the
+nearest one anywhere if none is near, any place if there is none at all), and halves that still exceed the limit less the overlap are cut again. Then each piece
 after the first gets the last characters of the piece before it put in front. Lengths are in Unicode code points.
 
 Round trip: joining the pieces, each after the first without its overlap, gives the text again.
@@ -34,7 +34,7 @@ REACH = 0.25
 
 
 def find_cut(text: str, start: int, end: int) -> int:
-    """The place to cut text[start:end]: the strongest boundary near the midpoint, the nearest to it among equals."""
+    """The place to cut text[start:end]: the strongest boundary near the midpoint, the nearest to it among equals; else the nearest of all."""
     middle, reach = (start + end) // 2, max(1, int((end - start) * REACH))
     low, high = max(start + 1, middle - reach), min(end - 1, middle + reach)
     for kind in BOUNDARIES:
@@ -45,7 +45,9 @@ def find_cut(text: str, start: int, end: int) -> int:
                 best = at
         if best:
             return best
-    return middle
+    # none in reach: the nearest of any strength in the whole segment, so that a run without boundaries stays whole where it can
+    wide = [m.end() for kind in BOUNDARIES for m in kind.finditer(text, start, end) if start < m.end() < end]
+    return min(wide, key=lambda at: abs(at - middle), default=middle)
 
 
 def cut_points(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[int]:

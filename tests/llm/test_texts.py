@@ -160,3 +160,12 @@ def test_every_match_is_hinted(text):
     assert not P.EMAIL.search(text) or P._hinted(P.EMAIL_HINTS, low) or " at " in low and "dot" in low
     assert not P.ID_LABELLED.search(text) or P._hinted(P.ID_HINTS, low)
     assert not P.ADDRESS.search(text) or P._hinted(P.ADDRESS_HINTS, text)
+
+
+def test_split_keeps_a_run_that_fits_whole():
+    for before, after in ((1700, 1700), (200, 3200), (3000, 400)):
+        text = "a " * (before // 2) + "x" * 3600 + " b" * (after // 2)
+        cuts = S.cut_points(text)
+        assert all(text[c - 1].isspace() for c in cuts[1:-1]) and all(b - a <= 3800 for a, b in zip(cuts, cuts[1:]))
+        assert cuts == sorted(set(cuts)) and cuts[-1] == len(text)
+    assert len(S.split_text("ab " + "x" * 100_000, 400, 50)) < 600
