@@ -44,6 +44,11 @@ def p2_conversations(spark: SparkSession, directory: str) -> DataFrame:
     return whole.select("session", "at", "seq", "speaker", "words")
 
 
+def p2_assembly(spark: SparkSession, directory: str) -> DataFrame:
+    """(session, seq, path, step, place): every message once, with its place on the merged path it lies on."""
+    return talk.assemble(table(spark, directory, "messages"), table(spark, directory, "sessions")).select("session", "seq", "path", "step", "place")
+
+
 def items(spark: SparkSession, directory: str) -> DataFrame:
     """(item_table, item_key, content) of messages and tool_results."""
     m = table(spark, directory, "messages", "seq", "content").select(F.lit("messages").alias("item_table"), F.col("seq").alias("item_key"), "content")
@@ -101,7 +106,7 @@ def p10_found(spark: SparkSession, directory: str) -> DataFrame:
     return residue(table(spark, directory, "documents", "doc_id", "text")).select("doc_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_conversations": p2_conversations, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_mentions": p4_mentions, "p4_redacted": p4_redacted, "p8_containers": p8_containers, "p8_summary": p8_summary, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_conversations": p2_conversations, "p2_assembly": p2_assembly, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_mentions": p4_mentions, "p4_redacted": p4_redacted, "p8_containers": p8_containers, "p8_summary": p8_summary, "p9_found": p9_found, "p10_found": p10_found}
 
 _N = r"nullif(lower(regexp_replace({0}, '^\s+|\s+$', '', 'g')), '')"
 _P = r"nullif(regexp_replace(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '\.zst$', ''), '')"

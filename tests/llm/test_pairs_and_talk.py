@@ -28,10 +28,21 @@ def test_nearest_against_brute_force(spark):
     assert nearest_in_time(L.limit(0), R, 5000).count() == 0 and nearest_in_time(L, R.limit(0), 5000).count() == 0
 
 
+def hashes(h):
+    """(prefix, suffix) hashes of one sequence."""
+    h, n = np.array(h, np.int64), len(h)
+    at = np.arange(n)
+    with np.errstate(over="ignore"):
+        x = C.terms(h, at)
+        s = np.cumsum(x, dtype=np.uint64)
+        return C.stretch_hash(s, at * 0, at + 1), C.stretch_hash(s[-1] - (s - x), at, n - at)
+
+
 def test_sequence_hashes():
-    h = np.array([5, 7, 11, 5, 7], np.int64)
-    p, s = C.sequence_hashes(h)
+    p, s = hashes([5, 7, 11, 5, 7])
     assert s[3] == p[1] and s[0] == p[4] and len(set(p.tolist())) == 5 and s[4] != p[0]
+    long, cut = list(range(10_000)), 7_123
+    assert hashes(long)[1][cut] == hashes(long[cut:])[0][-1]  # beyond the table of powers
 
 
 def sessions_of(spark, *ids):
@@ -60,11 +71,12 @@ def test_conversations(spark):
     assert C.dropped_sessions(m.limit(0), s.limit(0)).count() == 0 and C.dropped_sessions(m.limit(0), s).count() == 8
 
 
+def export(batch, numbers, session="a", named=True, by=2):
+    return [(session, f"e{n}" if named else None, None, n * 10, "user" if n % by else "assistant", f"w{n}", batch) for n in numbers]
+
+
 def test_overlapping_exports_are_merged(spark):
     """Three exports of one session that overlap at their ends, delivered out of order, and one that is ambiguous."""
-    def export(batch, numbers, session="a"):
-        return [(session, f"e{n}", None, n * 10, "user" if n % 2 else "assistant", f"w{n}", batch) for n in numbers]
-
     rows = export(0, range(7, 13)) + export(1, range(1, 5)) + export(2, range(3, 9)) + export(3, range(1, 5)) + export(0, [1, 2], "b") + export(1, [2, 3], "b") + export(2, [2, 4], "b")
     m, s = talk(spark, rows), sessions_of(spark, "a", "b")
     placed = C.place_in_fragments(C.message_rows(m, s))
@@ -72,4 +84,54 @@ def test_overlapping_exports_are_merged(spark):
     assert [(r.session, r.length) for r in sorted(edges, key=lambda r: r.length)] == [("a", 2), ("a", 2)]
     got = C.assemble(m, s).where("session = 'a'").collect()
     assert len(got) == 12 and len({r.path for r in got}) == 1 and {r.step for r in got} == {0, 1, 2}
+    assert [r.place for r in sorted(got, key=lambda r: r.at)] == list(range(12))
     assert C.dropped_sessions(m, s).count() == 0  # both are whole
+
+
+def test_the_overlap_graph_decides_where_there_are_no_ids(spark, monkeypatch):
+    """Exports without entry ids: overlapping, contained and copied ones are whole only through the graph; an ambiguous one is broken."""
+    rows = (
+        export(0, range(1, 7), "a", False) + export(1, range(5, 11), "a", False) + export(2, range(9, 13), "a", False)  # overlap at their ends
+        + export(0, range(1, 9), "b", False) + export(1, range(3, 7), "b", False) + export(2, [5], "b", False)  # one inside another
+        + export(0, range(1, 5), "c", False) + export(1, range(1, 5), "c", False)  # a copy
+        + export(0, [1, 2, 3], "d", False) + export(1, [3, 4, 5, 6], "d", False) + export(2, [3, 4, 7, 8], "d", False)  # two go on
+        + export(0, range(1, 5), "e", True)
+    )
+    want = None
+    for first in (0, 4090):  # wherever the order of delivery begins
+        m, s = talk(spark, rows), sessions_of(spark, *"abcde")
+        m = m.withColumn("seq", m.seq + first)
+        got = C.conversations(m, s).collect()
+        assert want in (None, sorted(r.words for r in got)) and {r.session for r in got} == set("abce")
+        want = sorted(r.words for r in got)
+        assert sorted(int(r.words[1:]) for r in got if r.session == "a") == list(range(1, 13)) and len({r.path for r in got if r.session == "a"}) == 1
+        assert sorted(int(r.words[1:]) for r in got if r.session == "b") == list(range(1, 9))
+    real = C.layout
+    monkeypatch.setattr(C, "layout", lambda placed: real(placed).where("false"))
+    assert {r.session_id for r in C.dropped_sessions(m, s).collect()} == {"a", "b", "d"}
+
+
+def test_fragments_do_not_depend_on_partitions(spark):
+    rng = random.Random(8)
+    rows = [("hot", None if rng.random() < 0.3 else f"e{rng.randrange(500)}", "/x", rng.randrange(3000), "user", f"w{i}", 0) for i in range(1500)] + export(1, range(20))
+    m, s = talk(spark, rows), sessions_of(spark, "hot", "a")
+    want = None
+    for n in ("1", "5"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            got = sorted(map(tuple, C.place_in_fragments(C.message_rows(m, s)).drop("at", "code").collect()), key=str)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        assert want is None or got == want
+        want = got
+    assert {r[5] for r in want if r[0] == "hot"} == set(range(1500)) and len({r[4] for r in want}) == 2
+
+
+def test_overlaps_that_prove_nothing(spark):
+    """One equal message without id at another time, and a sequence that ends as it begins."""
+    rows = [("a", None, None, 10, "user", "go", 0), ("a", None, None, 20, "assistant", "ok", 0), ("a", None, None, 30, "user", "go", 1), ("a", None, None, 40, "assistant", "ok", 1), ("b", None, None, 10, "user", "x", 0), ("b", None, None, 20, "assistant", "y", 0), ("b", None, None, 30, "user", "x", 0), ("b", None, None, 40, "assistant", "z", 0)]
+    m, s = talk(spark, rows), sessions_of(spark, "a", "b")
+    assert C.assemble(m, s).where("session = 'b'").count() == 4 and C.dropped_sessions(m, s).count() == 0
+    assert C.assemble(m.limit(0), s).count() == 0
