@@ -1,201 +1,65 @@
 """Template residue and error-page text: TF-IDF containment of passage windows in labelled exemplars.
 
-1. Document frequencies of all words over the whole corpus, in a table of hashed counts of fixed size.
-2. Labelled exemplars (EXEMPLARS) in an inverted index from word to exemplar; every plain word has a posting,
-   however frequent. Placeholders of all usual styles are one word, numbers another.
-3. A document is cut into passages (lines, and sentences of long lines). A passage's containment in an exemplar
-   is the share of its TF-IDF weight that the exemplar holds. Passages that belong to menus, footers and cookie
-   bars are set aside.
-4. A document's coverage is the share of its remaining words that lie in residue passages; documents of high
-   coverage are excluded.
+1. Labelled exemplars (kind, text) are an input table; EXEMPLARS is the one that comes with the package, of real
+   wordings in several languages. They go into an inverted index from word to exemplar; every plain word has a
+   posting, however frequent. Placeholders of all usual styles are one word, numbers another, paths and hosts a third.
+2. Document frequencies of the exemplars' words are counted exactly over the whole corpus. A word that no exemplar
+   holds can't be contained, whatever its frequency; it weighs as one that UNKNOWN of the documents hold.
+3. A document is cut into passages (lines, and sentences of long lines). A passage's containment is the share of its
+   TF-IDF weight that its NEAREST exemplars of one kind hold together, so that new combinations of known wordings are
+   found. Where a line is a short label, a colon and something, the label may also count as a word of its own kind.
+4. Passages contained in menu exemplars, navigation lines and stack traces are set aside. A document's coverage is the
+   share of its remaining words that lie in residue passages; documents of high coverage are excluded.
 
 Documents are scored from their whole text. Defined results: null, empty and blank texts are no residue (there
-is no passage that could be covered); repeated rows are each judged; other columns are kept untouched.
+is no passage that could be covered); repeated rows are each judged; without exemplars nothing is residue; other
+columns are kept untouched.
 """
 
 from __future__ import annotations
 
 import math
+import os
 import re
 from collections import Counter
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
-
-from skein.functions.sketch import SLICES, fill_tables
-
-#: Cells of the table of document frequencies (4 bytes each); words that share a cell count as more frequent.
-CELLS = 1 << 18
+from pyspark.sql import functions as F
+
+#: The labelled exemplars that come with the package: kind, tab, text.
+EXEMPLARS = os.path.join(os.path.dirname(__file__), "residue_exemplars.tsv")
+#: An exemplar table may have so many rows, as its index is broadcast; more are an error.
+MAX_EXEMPLARS = 100_000
+#: Exemplars of one kind that a passage is compared with together.
+NEAREST = 4
+#: The nearest of them must hold so much by itself.
+ALONE = 0.35
 #: A passage is residue from this containment on, a document from this coverage on.
-CONTAINMENT, COVERAGE = 0.66, 0.3
-#: Weight of placeholders, numbers and paths.
-MARK_WEIGHT = 2.0
-
-# Labelled exemplars of residue, by kind. '⟦p⟧' stands for any placeholder, '0' for any number.
-EXEMPLARS = {
-    "menu": """
-skip to content
-menu close search
-we use cookies to improve this site accept all settings
-this site uses cookies accept reject
-cookie-einstellungen impressum datenschutz
-all rights reserved example pages
-home about docs help contact pricing blog status sessions changelog sign in search
-aviso legal política de privacidad cookies
-mentions légales politique de confidentialité
-web front 0
-privacy policy terms of service
-""",
-    "form": """
-hello ⟦p⟧
-dear ⟦p⟧
-hallo ⟦p⟧
-hola ⟦p⟧
-bonjour ⟦p⟧
-your ⟦p⟧ session ⟦p⟧ ended on ⟦p⟧ report ⟦p⟧
-your session ⟦p⟧ has ended the report for ⟦p⟧ is at ⟦p⟧
-deine sitzung ⟦p⟧ wurde am ⟦p⟧ beendet bericht ⟦p⟧
-dein ⟦p⟧ team
-la sesión ⟦p⟧ terminó el ⟦p⟧ consulta ⟦p⟧ para más detalles
-votre session ⟦p⟧ s'est terminée le ⟦p⟧ voir ⟦p⟧
-the ⟦p⟧ team
-title ⟦p⟧
-summary ⟦p⟧
-steps ⟦p⟧
-owner ⟦p⟧
-status ⟦p⟧
-reporter ⟦p⟧
-context ⟦p⟧
-decision ⟦p⟧
-impact ⟦p⟧
-notes ⟦p⟧
-describe the problem ⟦p⟧
-meeting notes ⟦p⟧
-present ⟦p⟧ ⟦p⟧
-topic ⟦p⟧
-your session ⟦p⟧ finished on ⟦p⟧ ⟦p⟧ rows were written to ⟦p⟧
-regards ⟦p⟧
-version ⟦p⟧
-what did you expect ⟦p⟧
-what happened ⟦p⟧
-we agreed that ⟦p⟧ takes over ⟦p⟧ until ⟦p⟧
-next meeting ⟦p⟧
-release notes for ⟦p⟧ ⟦p⟧
-this release of ⟦p⟧ contains ⟦p⟧ please read ⟦p⟧ before upgrading to ⟦p⟧
-see ⟦p⟧ for details on ⟦p⟧
-""",
-    "filler": """
-lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat duis aute irure
-test test asdf qwer foo bar blah xxx
-placeholder paragraph
-text goes here
-dummy text
-sample text
-your content here
-getting started section title
-add your description here
-aquí va el texto de ejemplo
-texto de relleno sustituir más tarde
-dies ist ein blindtext ohne inhalt
-hier steht später der beschreibungstext
-platzhalter für die zusammenfassung
-texte provisoire à remplacer
-ceci est un faux texte
-这里 是 占位 文本
-此处 填写 内容
-""",
-    "error": """
-0 bad request
-0 unauthorized
-0 forbidden
-0 not found
-0 gone
-0 too many requests
-0 internal server error
-0 bad gateway
-0 service unavailable
-0 gateway timeout
-http error 0
-http status 0
-not found ⟦path⟧
-forbidden ⟦path⟧
-gone ⟦path⟧
-service unavailable ⟦path⟧
-status 0 detail not found forbidden gone internal server error service unavailable gateway timeout bad gateway too many requests instance ⟦path⟧
-error code 0 message forbidden not found gone internal server error service unavailable gateway timeout too many requests unauthorized bad gateway request ⟦path⟧
-application error a server-side exception has occurred digest 0
-access denied
-not authorized
-you do not have permission the rights to view open read this page link session resource file reference ⟦path⟧
-sorry uh-oh oops this requested page link resource file does not exist can't cannot be found it may have been moved
-sorry hmm uh-oh oops the requested that this document file link page session resource is no longer here it may have been moved check the address go back to the start page
-something broke failed went wrong on our side end please reload the page try again later incident ⟦path⟧
-sorry hmm oops this requested page link session resource could not be located found check the address go back to the start page
-request blocked unusual traffic detected wait 0 seconds
-this site service is temporarily offline down being upgraded we expect to be back in 0 minutes
-the page you are looking for does not exist
-error establishing a connection to the database
-failed to get a connection to the database
-request blocked too many requests from your network quota exceeded wait 0 seconds
-your session token login has expired please sign in log in authenticate again to continue
-this site is down for maintenance we expect to be back in 0 minutes
-the service is being upgraded we expect to be back in 0 minutes
-seite nicht gefunden
-datei nicht gefunden
-sitzung nicht gefunden
-die angeforderte adresse existiert nicht mehr zurück zur startseite bitte prüfen sie die eingabe
-zugriff verweigert
-página no encontrada la dirección ⟦path⟧ no existe
-error 0 no se puede mostrar la página el archivo la sesión inténtelo más tarde
-acceso denegado
-erreur 0 la page demandée est introuvable
-erreur 0 service indisponible
-erreur 0 accès refusé
-页面 不 存在
-服务器 错误 请 稍后 再 试
-""",
-    "script": """
-please enable javascript scripts to view this page
-please enable turn on javascript scripts scripting to continue view this page open the session
-please activate javascript scripts scripting for full functionality to continue view this page run use this app open the session viewer editor
-you need to switch turn on activate allow enable javascript scripts scripting for full functionality
-you need to switch turn on allow enable javascript scripts scripting to continue view this page use run open the session viewer app editor
-please allow javascript scripts and cookies to continue
-javascript scripts is disabled turned off blocked in your browser reload after switching it on
-javascript scripts is disabled turned off blocked in your browser some features will not load
-javascript scripts is disabled turned off blocked in your browser the content cannot be shown
-your browser is not supported or has scripting switched off
-noscript the editor app viewer page cannot start without scripting support
-this page viewer app editor site requires javascript scripts scripting turn it on in your browser settings and reload
-this page viewer app editor site requires javascript scripts scripting change your settings and try again
-loading if nothing happens allow scripts for ⟦path⟧
-checking your browser before opening ⟦path⟧ this may take 0 seconds scripts and cookies must be allowed
-diese anwendung benötigt skripte javascript und cookies
-bitte aktivieren sie javascript skripte um diese seite zu sehen
-bitte aktivieren sie javascript skripte um fortzufahren
-bitte aktivieren sie javascript skripte um die sitzung zu öffnen
-para continuar active javascript los scripts en su navegador
-veuillez activer autoriser javascript les scripts pour continuer
-veuillez activer autoriser javascript les scripts pour afficher le contenu
-请 启用 脚本 以 查看 此 页面
-""",
-}
-
-#: Opening marks of placeholders in the usual styles with the marks that close them.
+CONTAINMENT, COVERAGE = 0.6, 0.3
+#: Weight of placeholders, numbers, paths and labels.
+MARK_WEIGHT = 1.0
+#: Share of documents that a word outside the exemplars is taken to be in; and the least share that still adds weight.
+UNKNOWN, RAREST = 0.03, 0.001
+
+#: Placeholders in the usual styles: marks around one name or a few words, or a blank to write on.
+_NAME = r"[A-Za-z]+(?:_[A-Za-z]+)*"
 _OPEN = r"(?:\{\{|\$\{|#\{|<%=?|\[\[|«|@@|__|%|\[|<|\{)\s?"
 _CLOSE = r"\s?(?:\}\}|\}|%>|\]\]|»|@@|__|%|\]|>)"
-_PLACEHOLDER = re.compile(rf"{_OPEN}(?:insert |your |INSERT |YOUR )?[A-Za-z][A-Za-z]*(?:_[A-Za-z]+)*(?: here| HERE)?{_CLOSE}|_{{4,}}")
+_PLACEHOLDER = re.compile(rf"{_OPEN}(?:(?:insert|your|enter|INSERT|YOUR|Insert|Your|Enter) )?{_NAME}(?: here| HERE)?{_CLOSE}|\[[A-Z][A-Za-z]*(?: [A-Za-z]+){{1,4}}\](?!\()|<(?:your|insert|enter|Your|Insert|Enter)(?: [A-Za-z]+){{1,4}}>|_{{4,}}")
 _MARKS = ("{", "[", "<", "%", "__", "«", "@@")
-#: What people type into a field that they don't fill.
-_UNFILLED = (": TBD", ": TODO", ": ...", ": …", ": coming soon", ": fill me in", ": n/a yet", ": to be written", ": n/a", ": xxx")
+#: A field left open with dots.
+_DOTS = re.compile(r"(?<=:) ?(?:\.\.\.|…)\s*$")
+_LABEL = re.compile(r"^\s*(?:[-*•>#]+\s*|\d+[.)]\s*)?[^\W\d_][\w '’/-]{0,39}:(?=\s)")
 _PATH = re.compile(r"(?:[\w.-]+)?(?:/[\w.-]+)+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,8}\b|\b[a-z_]+\.[a-z_]+\b|\b(?=[a-f]*\d)[0-9a-f]{6,}\b")
 #: Without one of these a line holds no path, file, host or hash.
 _PATHLIKE = re.compile(r"/|\.[a-z_]|[0-9a-f]{6}")
-_WORD = re.compile(r"⟦p⟧|⟦path⟧|[^\W\d_]+(?:['’-][^\W\d_]+)*|\d+")
+_HAN = "\u3400-\u9fff"
+_PLAIN = rf"[{_HAN}]|[^\W\d_{_HAN}]+(?:['’-][^\W\d_{_HAN}]+)*"
+_WORD = re.compile(rf"⟦p⟧|⟦path⟧|⟦field⟧|{_PLAIN}|\d+")
+#: The plain words again, as Java's regular expressions have them.
+_JAVA_WORD = r"[\x{3400}-\x{9fff}]|[\p{L}&&[^\x{3400}-\x{9fff}]]+(?:['’-][\p{L}&&[^\x{3400}-\x{9fff}]]+)*"
 _MENU = re.compile(r"^\s*(?:©|\(c\)|copyright\b)|^\s*(?:[-*•]\s*)?[^|/.:\n]{1,25}(?:\s+[|/]\s+[^|/.:\n]{1,25})+\s*$", re.I)
 #: A line of a stack trace: it says nothing about where the text comes from and is set aside.
 _TRACE = re.compile(r"^\s*at \S+ \(\S+:\d+\)\s*$")
@@ -205,8 +69,8 @@ _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])")
 def marked(text: str) -> str:
     """The text with placeholders as ⟦p⟧ and paths, files, hosts and hashes as ⟦path⟧."""
     text = text.rstrip()
-    if text.endswith(_UNFILLED):
-        text = text[: text.rindex(": ")] + ": ⟦p⟧"
+    if text.endswith(("...", "…")):
+        text = _DOTS.sub(" ⟦p⟧", text)
     if any(m in text for m in _MARKS):
         text = _PLACEHOLDER.sub(" ⟦p⟧ ", text)
     return _PATH.sub("⟦path⟧", text) if _PATHLIKE.search(text) else text
@@ -214,24 +78,17 @@ def marked(text: str) -> str:
 
 def unfilled(line: str) -> bool:
     """Whether a line holds a placeholder."""
-    return any(m in line for m in _MARKS) and bool(_PLACEHOLDER.search(line)) or line.rstrip().endswith(_UNFILLED)
+    return any(m in line for m in _MARKS) and bool(_PLACEHOLDER.search(line)) or line.rstrip().endswith(("...", "…")) and bool(_DOTS.search(line))
 
 
 def tokens(text: str) -> list[str]:
     return ["0" if t[0].isdigit() else t for t in _WORD.findall(text.lower())]
 
 
-def vocabulary(text: str) -> set[str]:
-    """The text's plain words; cheap, for counting and for looking words up."""
-    return set(_PLAIN.findall(text.lower()))
-
-
-_PLAIN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-
-
-@lru_cache(maxsize=200_000)
-def cell(word: str) -> int:
-    return xxhash.xxh32_intdigest(word) % CELLS
+def read_exemplars(path: str = EXEMPLARS) -> list[tuple[str, str]]:
+    """(kind, text) of a labelled file."""
+    with open(path, encoding="utf-8") as f:
+        return [tuple(line.rstrip("\n").split("\t", 1)) for line in f if "\t" in line]
 
 
 def passages(text: str) -> list[str]:
@@ -243,55 +100,78 @@ def passages(text: str) -> list[str]:
     return out
 
 
-class Weights(dict):
-    """Weights of words, looked up once."""
-
-    def __init__(self, idf: np.ndarray):
-        self.idf = idf
-
-    def __missing__(self, word: str) -> float:
-        weight = MARK_WEIGHT if word[0] in "0⟦" else float(self.idf[cell(word)])
-        if len(self) < 200_000:
-            self[word] = weight
-        return weight
+def weights(counts: dict[str, int], n: int) -> tuple[dict[str, float], float]:
+    """(weight by word of the exemplars, weight of any other word) from their document frequencies in n documents."""
+    weigh = lambda df: math.log((n + 1) / (max(df, RAREST * n) + 1)) + 0.1
+    return {w: weigh(df) for w, df in counts.items()}, weigh(UNKNOWN * n)
 
 
 class Index:
-    """Exemplars by word. Every plain word and the placeholder retrieve; numbers and paths only count once an exemplar is retrieved."""
-
-    def __init__(self, idf: np.ndarray, exemplars: dict[str, str] = EXEMPLARS):
-        self.weights, self.kinds = Weights(idf), []
-        self.post: dict[str, list[int]] = {}
-        for kind, lines in exemplars.items():
-            for line in lines.strip().splitlines():
-                for w in set(tokens(line)):
-                    self.post.setdefault(w, []).append(len(self.kinds))
-                self.kinds.append(kind)
-        self.keys = frozenset(w for w in self.post if w[0] not in "0⟦")
-        self.retrieving = self.keys | ({"⟦p⟧"} & self.post.keys())
+    """Exemplars by kind and word. Every plain word and the placeholder retrieve; numbers, paths and labels only count once an exemplar is retrieved."""
+
+    def __init__(self, exemplars: Iterable[tuple[str, str]], weight: dict[str, float] | None = None, unknown: float = 1.0):
+        self.words: list[frozenset[str]] = []
+        self.post: dict[str, dict[str, list[int]]] = {}
+        for kind, text in exemplars:
+            # a label of its own kind is written ⟦field⟧ in the exemplars
+            held = frozenset(tokens(" ".join(marked(p) for p in passages(text))))
+            post = self.post.setdefault(kind, {})
+            for w in held:
+                post.setdefault(w, []).append(len(self.words))
+            self.words.append(held)
+        self.all = frozenset().union(*self.words)
+        self.keys = frozenset(w for w in self.all if w[0] not in "0⟦")
+        self.retrieving = self.keys | ({"⟦p⟧"} & self.all)
+        self.weight, self.unknown = dict(weight or {}), unknown
+        self.weight |= {w: MARK_WEIGHT for w in ("0", "⟦p⟧", "⟦path⟧", "⟦field⟧")}
 
     def best(self, words: list[str]) -> tuple[float, str]:
-        """(containment, kind) of the retrieved exemplar that holds most of the words' weight; 0 where none can reach CONTAINMENT."""
+        """(containment, kind) of the nearest exemplars of one kind that hold most of the words' weight together; 0 where none can reach CONTAINMENT."""
         if self.retrieving.isdisjoint(words):
             return 0.0, ""
-        weight, post = self.weights, self.post
-        weights = {w: weight[w] for w in words}
-        if len(weights) < len(words):
-            weights = {w: weight[w] * (1 + math.log(n)) for w, n in Counter(words).items()}
-        total = sum(weights.values())
-        # no exemplar holds more than what all of them hold together
-        if sum([x for w, x in weights.items() if w in post]) < CONTAINMENT * total * (1 - 1e-9):
+        get, unknown = self.weight.get, self.unknown
+        held = {w: get(w, unknown) for w in words}
+        if len(held) < len(words):
+            held = {w: get(w, unknown) * (1 + math.log(n)) for w, n in Counter(words).items()}
+        enough = CONTAINMENT * sum(held.values()) * (1 - 1e-9)
+        # no exemplars hold more than what all of them hold together
+        if sum([x for w, x in held.items() if w in self.all]) < enough:
             return 0.0, ""
-        scores: dict[int, float] = {}
-        found: set[int] = set()
-        for w, x in weights.items():
-            at = post.get(w, ())
-            for i in at:
-                scores[i] = scores.get(i, 0.0) + x
-            if w in self.retrieving:
-                found.update(at)
-        score, at = max((scores[i], -i) for i in found)
-        return score / total, self.kinds[-at]
+        top = (0.0, "")
+        for kind, post in self.post.items():
+            open_ = {w: x for w, x in held.items() if w in post}
+            if sum(open_.values()) >= enough and not self.retrieving.isdisjoint(open_):
+                top = max(top, (self._together(post, open_, ALONE / CONTAINMENT * enough), kind))
+        return top[0] / sum(held.values()), top[1]
+
+    def _together(self, post: dict[str, list[int]], open_: dict[str, float], alone: float) -> float:
+        """The weight that NEAREST exemplars hold together: the one that holds most, then each time the one that adds most.
+        0 where the first holds less than alone."""
+        covered = 0.0
+        for _ in range(NEAREST):
+            gains: dict[int, float] = {}
+            for w, x in open_.items():
+                for i in post[w]:
+                    gains[i] = gains.get(i, 0.0) + x
+            if not gains:
+                break
+            gain, i = max((g, -i) for i, g in gains.items())
+            if gain < alone:
+                return 0.0
+            alone = 0.0
+            covered += gain
+            open_ = {w: x for w, x in open_.items() if w not in self.words[-i]}
+        return covered
+
+
+def _contained(passage: str, index: Index, raw: list[str]) -> tuple[float, str]:
+    """best() of a passage as it is or, where that isn't enough, with its label as a word of its own kind."""
+    m = marked(passage)
+    ts = ["0" if t[0].isdigit() else t for t in raw] if m == passage.rstrip() else tokens(m)
+    c, kind = index.best(ts)
+    if c < CONTAINMENT and ":" in m and (rest := _LABEL.sub("⟦field⟧ ", m, count=1)) != m:
+        return max((c, kind), index.best(tokens(rest)))
+    return c, kind
 
 
 def coverage(text: str, index: Index, least: float = COVERAGE) -> tuple[float, str]:
@@ -304,30 +184,27 @@ def coverage(text: str, index: Index, least: float = COVERAGE) -> tuple[float, s
         if ("|" in line or "/" in line or "©" in line or "opyright" in line) and _MENU.search(line) or _TRACE.match(line):
             continue
         found = _WORD.findall(line.lower())
-        words += len(found)
-        if found and (not index.keys.isdisjoint(found) or unfilled(line) or any(u in line for u in _UNFILLED)):
+        # a placeholder without letters or digits is one word
+        words += len(found) or (1 if unfilled(line) else 0)
+        if not index.keys.isdisjoint(found) or unfilled(line):
             lines.append((line, found))
     # what can still be covered; less than `least` of all words stays less when menus leave the count
-    open_, enough = sum(len(found) for _, found in lines), least * words
+    open_, enough = sum(len(found) or 1 for _, found in lines), least * words
     if not lines or open_ < enough:
         return 0.0, ""
     covered = 0
     kinds: dict[str, int] = {}
     for line, found in lines:
-        parts = passages(line)
+        parts = [x for x in _SENTENCE.split(line) if x.strip()]
         for p in parts:
             raw = found if len(parts) == 1 else _WORD.findall(p.lower())
-            size = len(raw)
-            m = marked(p)
-            ts = ["0" if t[0].isdigit() else t for t in raw] if m == p.rstrip() else tokens(m)
-            if not ts:
+            size = len(raw) or (1 if unfilled(p) else 0)
+            if not size:
                 continue
-            c, kind = index.best(ts)
-            if kind == "menu" and c >= CONTAINMENT:
+            c, kind = _contained(p, index, raw)
+            if c >= CONTAINMENT and kind == "menu":
                 words -= size
                 continue
-            if "⟦p⟧" in ts and all(t in ("⟦p⟧", "0") for t in ts):
-                c, kind = 1.0, "form"
             if c >= CONTAINMENT:
                 covered += size
                 kinds[kind] = kinds.get(kind, 0) + size
@@ -338,31 +215,26 @@ def coverage(text: str, index: Index, least: float = COVERAGE) -> tuple[float, s
     return (covered / words, max(kinds, key=lambda k: (kinds[k], k))) if kinds and words else (0.0, "")
 
 
-def document_frequencies(documents: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents by hashed word, over all documents, and their number."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
-        df, n = np.zeros(CELLS, np.int64), np.zeros(SLICES, np.int64)
-        for b in batches:
-            for text in b.column(0):
-                t = text.as_py()
-                n[0] += 1
-                if t:
-                    df[list({cell(w) for w in vocabulary(t)})] += 1
-        return [df, n]
-
-    df, n = fill_tables(documents.select("text"), count, lambda a, b: [x + y for x, y in zip(a, b)], "int64", 2)
-    return df, int(n.sum())
+def document_frequencies(documents: DataFrame, vocabulary: Iterable[str]) -> dict[str, int]:
+    """Exact document frequencies of the given words over all documents; at most a row a word reaches the driver."""
+    words = sorted(vocabulary)
+    if not words:
+        return {}
+    held = F.array_intersect(F.regexp_extract_all(F.lower("text"), F.lit(_JAVA_WORD), F.lit(0)), F.array(*map(F.lit, words)))
+    counted = documents.where(F.col("text") != "").select(F.explode(held).alias("word")).groupBy("word").count()
+    return dict.fromkeys(words, 0) | {r["word"]: r["count"] for r in counted.collect()}
 
 
-def residue(documents: DataFrame, least: float = COVERAGE) -> DataFrame:
-    """(doc_id, coverage, kind): the documents of high coverage. documents: doc_id, text."""
-    df, n = document_frequencies(documents)
-    idf = np.log((n + 1) / (df + 1)) + 0.1
-    shared = documents.sparkSession.sparkContext.broadcast(idf.astype(np.float32))
+def residue(documents: DataFrame, exemplars: DataFrame | None = None, least: float = COVERAGE) -> DataFrame:
+    """(doc_id, coverage, kind): the documents of high coverage. documents: doc_id, text. exemplars: kind, text."""
+    labelled = read_exemplars() if exemplars is None else [(r.kind, r.text) for r in exemplars.select("kind", "text").where(F.col("kind").isNotNull() & F.col("text").isNotNull()).limit(MAX_EXEMPLARS + 1).collect()]
+    if len(labelled) > MAX_EXEMPLARS:
+        raise ValueError(f"more than {MAX_EXEMPLARS} exemplars")
+    weight, unknown = weights(document_frequencies(documents, Index(labelled).keys), documents.count())
+    shared = documents.sparkSession.sparkContext.broadcast((labelled, weight, unknown))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value)
+        index = Index(*shared.value)
         for b in batches:
             rows = [(d.as_py(), *coverage(t.as_py(), index, least)) for d, t in zip(b.column(0), b.column(1)) if t.as_py()]
             rows = [r for r in rows if r[1] >= least]

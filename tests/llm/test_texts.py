@@ -1,9 +1,10 @@
 """Splitting, personal information, leaks and residue."""
 
 import itertools
+import os
 import random
 
-import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -104,7 +105,6 @@ def test_residue(spark):
     assert set(got) == set(range(len(real), len(real) + len(bad)))
     assert got[len(real)] == "error" and got[len(real) + 1] == "form" and got[len(real) + 2] == "script"
     assert R.residue(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
-    assert np.isfinite(R.cell("x"))
 
 
 def test_residue_as_a_third_of_the_rows(spark):
@@ -116,23 +116,145 @@ def test_residue_as_a_third_of_the_rows(spark):
             assert got == set(range(len(real), len(rows))), (text, copies)
 
 
-def test_residue_retrieval_against_all_exemplars():
+def test_nearest_exemplars_against_brute_force():
     rng = random.Random(6)
-    idf = np.array([rng.choice([0.1, 0.2, 1.0, 6.0]) for _ in range(1 << 12)], np.float32)
-    idf = np.tile(idf, R.CELLS // len(idf))
-    index = R.Index(idf)
-    lines = [(k, set(R.tokens(x))) for k, text in R.EXEMPLARS.items() for x in text.strip().splitlines()]
-    vocab = sorted(set().union(*(x for _, x in lines)) | {"router", "cache", "parser"})
-    reached = 0
-    for _ in range(2000):
-        words = rng.choices(sorted(rng.choice(lines)[1]), k=rng.randrange(1, 9)) + rng.choices(vocab, k=rng.randrange(0, 3))
-        weights = {w: (R.MARK_WEIGHT if w[0] in "0⟦" else float(idf[R.cell(w)])) * (1 + np.log(words.count(w))) for w in words}
-        share = [sum(x for w, x in weights.items() if w in held) / sum(weights.values()) for _, held in lines if any(w in held for w in words if w[0] != "0" and w != "⟦path⟧")]
-        want = max(share, default=0.0)
+    vocab = [f"w{chr(97 + i)}" for i in range(20)]
+    exemplars = [(rng.choice("xyz"), " ".join(rng.choices(vocab, k=rng.randrange(1, 7)))) for _ in range(40)]
+    weight = {w: rng.choice([0.125, 1.0, 3.0]) for w in vocab}
+    index, reached = R.Index(exemplars, weight, 2.0), 0
+    for _ in range(1500):
+        words = rng.sample(vocab, k=rng.randrange(1, 8)) + rng.sample(["router", "cache"], k=rng.randrange(0, 3))
+        value = {w: weight.get(w, 2.0) for w in words}
+        want = 0.0
+        for kind in "xyz":
+            held, left = 0.0, dict(value)
+            for nth in range(R.NEAREST):
+                gains = [(sum(x for w, x in left.items() if w in e.split()), -i) for i, (k, e) in enumerate(exemplars) if k == kind]
+                gain, i = max(gains, default=(0.0, 0))
+                if nth == 0 and gain < R.ALONE * sum(value.values()):
+                    break
+                held, left = held + gain, {w: x for w, x in left.items() if w not in exemplars[-i][1].split()}
+            want = max(want, held / sum(value.values()))
         got = index.best(words)[0]
         assert abs(got - want) < 1e-9 if want >= R.CONTAINMENT else got < R.CONTAINMENT
         reached += want >= R.CONTAINMENT
-    assert reached > 500
+    assert 300 < reached < 1400
+
+
+#: Wordings that thresholds and exemplars were chosen with in view; none is an exemplar.
+UNSEEN = [
+    "We couldn't find the page you were looking for. It may have moved, or the link might be broken.",
+    '504 Gateway Time-out\nnginx',
+    "Hi [Name],\n\nI'm writing to follow up on [topic]. Let me know if [date] works for you.\n\nBest,\n[Your Name]",
+    'JavaScript must be turned on before you can proceed.',
+    'Fusce dapibus, tellus ac cursus commodo, tortor mauris condimentum nibh, ut fermentum massa justo sit amet risus.',
+    'Whoops! Looks like this page went missing.\nGo home',
+    'The resource cannot be displayed right now. Try refreshing the page.',
+    '<your name>\n<your address>\n<city>, <state>\n\nDear <recipient>,',
+    'Invoice no: ____\nCustomer: ____\nTotal due: ____',
+    'Access to this page has been denied because we believe you are using automation tools to browse the website.',
+    'Internal error. The server was unable to process the request.',
+    "This page doesn't exist anymore. You can return to our homepage.",
+    "You don't have access to this document. Request access or switch accounts.",
+    'Sorry, you need JavaScript enabled in your browser to use this website.',
+    'This site relies on JavaScript. Turn on JavaScript in the settings of your browser and refresh.',
+    "Your browser has JavaScript disabled, so this page can't be loaded.",
+    'Leider ist ein Fehler aufgetreten. Die Seite kann nicht angezeigt werden.',
+    'Um diese Website nutzen zu können, muss JavaScript im Browser aktiviert sein.',
+    'Esta página no está disponible. Es posible que el enlace esté roto.',
+    'Debe activar JavaScript en su navegador para usar este sitio.',
+    "Cette page n'est plus disponible. Retour à l'accueil.",
+    'Pour utiliser ce site, JavaScript doit être activé dans votre navigateur.',
+    'Title: [Insert title]\nAuthor: [Insert author]\nDate: [Insert date]\n\n[Write your introduction here]',
+    'Meeting: TBD\nLocation: TBD\nAttendees: TBD',
+    'Lorem ipsum dolor sit amet consectetur. Aliquam erat volutpat. Nulla facilisi. Donec vitae sapien ut libero venenatis faucibus.',
+    'The connection was reset. The site could be temporarily unavailable or too busy.',
+    'Error 500. Something unexpected happened on the server.',
+    "We're down for scheduled maintenance. Please check back soon.",
+    'This account has been suspended. Contact your hosting provider for more information.',
+    'Too many login attempts. Please wait 15 minutes and try again.',
+    'Hello {{customer.name}},\n\nYour order {{order.id}} has been shipped and will arrive on {{order.date}}.\n\nThanks,\n{{shop.name}}',
+    'This text is a placeholder. Replace it with your own content.',
+    'Sample page\n\nThis is an example page. Add your own text here.',
+    'Hier steht Ihr Text. Blindtext, der später ersetzt wird.',
+    'Checking if the site connection is secure. Enable JavaScript and cookies to continue.',
+    'You are being redirected. JavaScript is required.',
+    'HTTP 403: you are not allowed to view this resource.',
+    'Fatal error: the page could not be rendered. Please contact support.',
+    'La página solicitada no se encuentra en este servidor.',
+    "Le serveur a rencontré une erreur interne et n'a pas pu traiter la demande.",
+    'Sorry! This listing has expired or been taken down.\n\nBrowse similar items',
+    '502 - Web server received an invalid response while acting as a gateway or proxy server.',
+    'Dear [Customer Name],\n\nWe noticed that your subscription to [Product] expires on [Expiry Date].\n\nWarm regards,\n[Agent]',
+    'You have JavaScript switched off. Please switch it on to see this content.',
+    'Cras ultricies ligula sed magna dictum porta. Vivamus suscipit tortor eget felis porttitor volutpat.',
+    'Error: the requested operation could not be completed. Try again later or contact support.',
+    'Page not available\n\nThe link you followed may be broken, or the page may have been removed.',
+    'This feature needs JavaScript. Please enable it in your browser and reload this page.',
+    'Name: ________\nDate: ________\nSignature: ________',
+    'Your connection was interrupted. Please reload the page.',
+    'You are not signed in. Please sign in to view this page.',
+    'Project: <project name>\nOwner: TBD\nDeadline: TBD',
+    'Dieser Inhalt ist derzeit nicht verfügbar. Bitte versuchen Sie es später noch einmal.',
+    'Aktivieren Sie JavaScript in Ihrem Browser, um diese App zu verwenden.',
+    'Lo sentimos, ha ocurrido un error. Vuelva a intentarlo más tarde.',
+    'Désolé, une erreur interne est survenue sur le serveur.',
+    'Service temporarily unavailable. The server is undergoing maintenance.',
+    'Your text goes here. Replace this sample text.',
+    'This application requires a browser with JavaScript enabled.',
+    'Gateway error. The upstream server did not respond in time.',
+]
+#: Wordings that were written after all choices had been made.
+LATER = [
+    'The document you tried to open is missing or was deleted by its owner.',
+    'Nothing to see here. This post has been removed.',
+    'Server overloaded. Please come back later.',
+    'You are offline. Check your connection and reload.',
+    'Scripts must be allowed for this page to work.',
+    'JavaScript seems to be disabled. Activate it in your browser settings to continue.',
+    'Dear {{ first_name }},\n\nThank you for registering for {{ event }}. Your ticket number is {{ ticket }}.',
+    'Subject: [Subject]\nTo: [Recipient]\nFrom: [Sender]',
+    'Aenean lacinia bibendum nulla sed consectetur. Nullam quis risus eget urna mollis ornare vel eu leo.',
+    'Hier entsteht demnächst Ihr Inhalt. Platzhaltertext.',
+    'Die Verbindung zum Server wurde unterbrochen. Laden Sie die Seite neu.',
+    'No se encontró el archivo solicitado.',
+    "L'accès à cette page est interdit.",
+    '403 - Forbidden: Access is denied.',
+    'Request timed out. The server took too long to respond.',
+    'Example text for layout purposes. Replace before publishing.',
+    "JavaScript n'est pas activé. Activez-le puis rechargez la page.",
+    'Session not found. It may have expired.',
+    'Description: to be added\nReviewer: TBD\nRisk: TBD',
+    'Please log in again. Your session timed out.',
+]
+#: Real content that mentions or quotes residue.
+MENTIONS = [
+    "The renderer answers 404 Not Found when the slug has a trailing dot. I traced it to the router: it strips the dot before the lookup, so the cached entry never matches.",
+    "We show 'Please enable JavaScript to view this page' in the fallback. The copy was agreed with design in March and the snapshot tests cover both themes.",
+    "def greet(user):\n    return f'Hello {user.name}'\n\nThe helper is called from the mailer and from the digest job, which passes a tuple instead.",
+    "Lorem ipsum is what our seed script writes into the body column, so the length histogram has a spike at 446 characters that has nothing to do with real posts.",
+    "Status: done\nOwner: Mira\nSummary: the queue drains twice as fast since the batch size was raised to 64.",
+    "Access was denied for the deploy key because its scope lacks packages:read; rotating it fixed the nightly build.",
+]
+
+
+def test_unseen_wordings_and_mentions(spark):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    docs, labelled = spark.read.parquet(path), R.read_exemplars()
+    index = R.Index(labelled, *R.weights(R.document_frequencies(docs, R.Index(labelled).keys), docs.count()))
+    share = lambda texts: sum(R.coverage(t, index)[0] >= R.COVERAGE for t in texts) / len(texts)
+    assert share(UNSEEN) >= 0.9 and share(LATER) >= 0.75  # 16 of 20 when they were written
+    assert share(MENTIONS) <= 1 / 6  # a short text of which a quoted notice is half is taken for one
+
+
+def test_exemplars_as_a_table(spark):
+    docs = spark.createDataFrame([(1, "zork blip"), (2, "zork blip frob"), (3, "the router is slow"), (4, None), (5, "")], "doc_id bigint, text string")
+    own = spark.createDataFrame([("odd", "zork blip", 1), (None, "the router is slow", 1), ("odd", None, 1)], "kind string, text string, doc_id int")
+    assert {(r.doc_id, r.kind) for r in R.residue(docs, own).collect()} >= {(1, "odd")} and 3 not in {r.doc_id for r in R.residue(docs, own).collect()}
+    assert R.residue(docs, own.limit(0)).count() == 0
+    assert R.document_frequencies(docs, ["zork", "router", "none"]) == {"zork": 2, "router": 1, "none": 0}
 
 
 def test_large_lexicon_changes_nothing(spark):
