@@ -5,9 +5,10 @@
 2. Items are spread by hash over groups of about GROUP items; every group is packed for itself, so no task ever
    holds more than a group, whatever the corpus's size.
 3. In each group ISLANDS populations evolve apart. Crossover takes whole well-filled containers of one parent
-   into the other, drops the containers there that hold the same items, and best-fits the displaced items;
-   mutation opens the emptiest containers. After each of EPOCHS epochs the best packings of every island migrate
-   to the next one. Groups that reach the lower bound (their tokens over the capacity, rounded up) are done.
+   into the other, drops the containers there that hold the same items, lets displaced items take the places of one
+   or two items where that fills a container better, and best-fits what is left; mutation opens the emptiest
+   containers. After each of EPOCHS epochs the best packings of every island migrate to the next one. Groups that
+   reach the lower bound (their tokens over the capacity, rounded up) are done: nothing can be better.
 4. The items of containers that stay emptier than TAIL are packed once more, across groups.
 
 Defined results: null texts and texts without tokens have nothing to place and give no row; repeated rows are
@@ -18,9 +19,10 @@ from __future__ import annotations
 
 import base64
 import random
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -31,7 +33,9 @@ from pyspark.sql import functions as F
 from skein.session import materialize
 
 CAPACITY = 2048
-GROUP, ISLANDS, EPOCHS, GENERATIONS, POPULATION, ELITE = 2000, 3, 2, 12, 6, 2
+GROUP, ISLANDS, EPOCHS, GENERATIONS, POPULATION, ELITE = 2000, 3, 4, 12, 8, 2
+#: Containers of a child in which displaced items may take places, and the largest items of a container that may give way.
+LOCAL, GIVING = 80, 6
 #: Containers emptier than this are packed again across groups.
 TAIL = 0.97
 
@@ -129,11 +133,50 @@ def crossover(a: Packing, b: Packing, sizes: list[int], capacity: int, rng: rand
         else:
             displaced.extend(i for i in items if i not in inside)
     displaced.extend(mutate(child, rng))
+    displaced = take_places(child, displaced, sizes, capacity, rng)
     displaced.sort(key=lambda i: -sizes[i])
     best_fit(child, displaced, sizes, capacity)
     return child
 
 
+def take_places(p: Packing, free: list[int], sizes: list[int], capacity: int, rng: random.Random) -> list[int]:
+    """Let one or two free items take the places of one or two items of a container where that fills it better; what is free then.
+
+    The smaller items that come out are easier to fit than the larger ones that went in.
+    """
+    free = sorted(free, key=sizes.__getitem__)
+    weights = [sizes[i] for i in free]
+    for k in rng.sample(range(len(p.bins)), min(LOCAL, len(p.bins))):
+        slack = capacity - p.fill[k]
+        if not slack or not free:
+            continue
+        giving = sorted(p.bins[k], key=lambda i: -sizes[i])[:GIVING]
+        best: tuple[int, tuple[int, ...], tuple[int, ...]] = (0, (), ())
+        for out in [(a,) for a in giving] + list(combinations(giving, 2)):
+            gone = sum(sizes[i] for i in out)
+            most = gone + slack
+            at = bisect_right(weights, most) - 1
+            if at >= 0 and weights[at] - gone > best[0]:
+                best = (weights[at] - gone, out, (at,))
+            if best[0] == slack:
+                break
+            high = len(free) - 1
+            for low in range(len(free)):  # the heaviest pair of free items that fits, by two pointers
+                while high > low and weights[low] + weights[high] > most:
+                    high -= 1
+                if high <= low:
+                    break
+                if weights[low] + weights[high] - gone > best[0]:
+                    best = (weights[low] + weights[high] - gone, out, (low, high))
+        gain, out, into = best
+        if gain:
+            p.bins[k] = [i for i in p.bins[k] if i not in out] + [free[i] for i in into]
+            p.fill[k] += gain
+            free = sorted([x for i, x in enumerate(free) if i not in into] + list(out), key=sizes.__getitem__)
+            weights = [sizes[i] for i in free]
+    return free
+
+
 def mutate(p: Packing, rng: random.Random) -> list[int]:
     """Open the emptiest containers and a few others; their items."""
     if len(p.bins) < 4:
@@ -199,8 +242,10 @@ def pack(items: DataFrame, capacity: int = CAPACITY, group: int = GROUP, generat
     for _ in range(epochs - 1):
         solved = state.groupBy("grp").agg((F.min("bins") <= F.min("bound")).alias("solved"))
         flagged = state.join(solved, "grp")
-        done.append(flagged.where("solved").drop("solved"))
         left = flagged.where(~F.col("solved")).drop("solved")
+        if left.isEmpty():
+            break
+        done.append(flagged.where("solved").drop("solved"))
         migrants = left.withColumn("island", ((F.col("island") + 1) % ISLANDS).cast("int"))
         state = materialize(left.unionByName(migrants).groupBy("grp", "island").applyInPandas(epoch, _STATE), "islands")
     for d in done:

@@ -19,17 +19,42 @@ def test_genetic_steps_keep_every_item():
     assert best.fitness(2048) >= max(x.fitness(2048) for x in (a, b, child)) and K.Packing.of(best.assignment(300), sizes).fill.__len__() == len(best.bins)
 
 
-def test_evolution_beats_plain_best_fit():
-    """Triplets that fill a container exactly, where best fit by falling size wastes room."""
-    rng = random.Random(7)
-    sizes = []
-    for _ in range(60):
-        a = rng.randrange(500, 900)
-        b = rng.randrange(450, 1000 - a // 4)
+def triplets(n, seed):
+    """Sizes that fill n containers exactly, three to each, where best fit by falling size wastes room."""
+    rng, sizes = random.Random(seed), []
+    for _ in range(n):
+        a = rng.randrange(780, 1000)
+        b = rng.randrange(500, min(1000, 2048 - a - 400))
         sizes += [a, b, 2048 - a - b]
-    first = [K.seedling(sizes, 2048, rng, 0.05 * k) for k in range(6)]
-    start = len(first[0].bins)
-    assert len(K.evolve(first, sizes, 2048, 60, rng)[0].bins) <= start
+    return sizes
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_evolution_beats_plain_best_fit(seed):
+    sizes, rng = triplets(60, seed), random.Random(7)
+    plain = len(K.seedling(sizes, 2048, rng, 0.0).bins)
+    best = K.evolve([K.seedling(sizes, 2048, rng, 0.05 * k) for k in range(K.POPULATION)], sizes, 2048, K.GENERATIONS, rng)[0]
+    assert plain >= 64 and 60 <= len(best.bins) <= 62 and sorted(i for x in best.bins for i in x) == list(range(180))
+    assert all(sum(sizes[i] for i in x) == f <= 2048 for x, f in zip(best.bins, best.fill))
+
+
+def test_islands_and_migration_beat_one_epoch(spark):
+    sizes = triplets(100, 4)
+    df = spark.createDataFrame([(f"i{k}", s) for k, s in enumerate(sizes)], "item string, size bigint")
+    used = [K.pack(df, group=1000, generations=3, epochs=e).select("grp", "bin").distinct().count() for e in (1, 4)]
+    plain = len(K.seedling(sizes, 2048, random.Random(0), 0.0).bins)
+    assert used[1] < used[0] < plain
+
+
+def test_places_taken_keep_every_item():
+    rng = random.Random(5)
+    for _ in range(50):
+        sizes = [rng.randrange(1, 900) for _ in range(60)]
+        p = K.seedling(sizes[:40], 2048, rng, 0.3)
+        before = list(p.fill)
+        free = K.take_places(p, list(range(40, 60)), sizes, 2048, rng)
+        assert sorted([i for b in p.bins for i in b] + free) == list(range(60)) and all(x <= f <= 2048 for x, f in zip(before, p.fill))
+        assert all(sum(sizes[i] for i in b) == f for b, f in zip(p.bins, p.fill))
 
 
 def test_pack_in_groups(spark):
