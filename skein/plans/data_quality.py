@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.keys import norm_id, norm_path, session_of_path, with_session
-from skein.operators.hierarchy import ancestor_pairs, clean_links, hierarchy
+from skein.operators.hierarchy import ancestor_pairs, clean_links, climb, hierarchy
 from skein.operators.redelivery import redelivered
 from skein.operators.references import period, report, resolve
+from skein.session import materialize
 from skein.sources.tables import table
 
 #: Between the tree and the id in a node's key.
@@ -42,7 +43,7 @@ def _id(c: str):
 def p5_found(spark: SparkSession, directory: str) -> DataFrame:
     """(tree, key_a, key_b): pairs of nodes of which one is reached from the other."""
     _, links = forest(spark, directory)
-    pairs = ancestor_pairs(links)
+    pairs = ancestor_pairs(materialize(links, "links"))
     a, b = _id("node"), _id("ancestor")
     return pairs.select(_tree("node").alias("tree"), F.least(a, b).alias("key_a"), F.greatest(a, b).alias("key_b")).distinct()
 
@@ -50,13 +51,15 @@ def p5_found(spark: SparkSession, directory: str) -> DataFrame:
 def p5_hierarchy(spark: SparkSession, directory: str) -> DataFrame:
     """(tree, key, parent, root, depth, path, state, descendants) of every session and activity."""
     nodes, links = forest(spark, directory)
-    below = ancestor_pairs(links).groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("descendants"))
-    # the mark and the tree's name are taken out of the path again
-    path = F.regexp_replace("path", r"(^|/)(sessions|activities):", "$1")
+    links = materialize(links, "links")
+    climbed = climb(nodes, links)
+    below = ancestor_pairs(links, climbed).groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("descendants"))
+    # the mark and the tree's name are taken off every node of the path
+    names = F.transform(F.concat(F.reverse("above"), F.array("node")), lambda x: F.substring(x, F.instr(x, MARK) + 1, F.length(x)))
     return (
-        hierarchy(nodes, links)
+        hierarchy(nodes, links, climbed=climbed)
         .join(below, "node", "left")
-        .select(_tree("node").alias("tree"), _id("node").alias("key"), _id("parent").alias("parent"), _id("root").alias("root"), F.col("depth").cast("int").alias("depth"), path.alias("path"), "state", F.coalesce("descendants", F.lit(0)).cast("bigint").alias("descendants"))
+        .select(_tree("node").alias("tree"), _id("node").alias("key"), _id("parent").alias("parent"), _id("root").alias("root"), F.col("depth").cast("int").alias("depth"), F.array_join(names, "/").alias("path"), "state", F.coalesce("descendants", F.lit(0)).cast("bigint").alias("descendants"))
     )
 
 
