@@ -49,6 +49,7 @@ HINTS = {
     "secret_assignment": ("token", "secret", "password", "passwd", "api_key", "api-key", "apikey"),
     "secret_query": ("token=", "secret=", "password=", "api_key="),
 }
+# What names a secret, dotenv lines, keys and types whose values stay, and values that are no secrets.
 SECRET_KEY = re.compile(r"(?i)token|secret|password|passwd|api[_-]?key|access[_-]?key|credential|private[_-]?key|signing[_-]?key|client[_-]?secret|auth[_-]?token")
 ENV_LINE = re.compile(r"^\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)\s*=\s*(.*?)\s*$")
 SKIPPED_KEYS = frozenset(("thinkingSignature", "encrypted_content", "signature"))
@@ -60,27 +61,30 @@ PLACEHOLDERS = frozenset(("changeme", "placeholder", "redacted", "example", "you
 
 
 def _steps(values: Iterable[str]) -> list[tuple[str, str, str]]:
-    """(name, Java pattern, replacement) of all steps.
+    """(name, Java pattern, replacement) of all steps; the exact values are one step, the longer before the shorter.
 
     Where marks are passed over, the last repetition is possessive and a mark must not stand before the match's end.
     """
-    out = [("exact", re.escape(v), MARK) for v in values]
+    exact = "|".join("\\Q" + v.replace("\\E", "\\E\\\\E\\Q") + "\\E" for v in values)
+    out = [("exact", exact, MARK)] if exact else []
     for name, pattern, new, pass_over in PATTERNS:
         out.append((name, f"{pattern}+(?<!{re.escape(MARK)})(?<!{re.escape(KEY_MARK)})" if pass_over else pattern, new))
     return out
 
 
-def scrub(col: Column | str, values: Iterable[str] = (), hints: dict[str, Column] | None = None) -> tuple[Column, dict[str, Column]]:
-    """(the redacted column, matches by pattern). values: exact secrets, longest first. hints: where a pattern can match at all."""
-    text = F.col(col) if isinstance(col, str) else col
-    hints = hinted(F.lower(text)) if hints is None else hints
-    counts: dict[str, Column] = {}
+def scrub(df: DataFrame, text: str, values: Iterable[str] = (), clean: str = "clean", matches: str = "matches") -> DataFrame:
+    """df with the redacted text and the number of matches. values: exact secrets, longest first.
+
+    Every step is a projection of its own over the text that the one before left, so the plan grows in proportion to
+    the patterns; Spark doesn't fold projections whose costly columns are used more than once.
+    """
+    low = F.lower(F.col(text))
+    out = df.withColumn("__low", low).withColumns({"__t": F.col(text), "__n": F.lit(0), **{f"__{k}": v for k, v in hinted(F.col("__low")).items()}}).drop("__low")
     for name, java, new in _steps(values):
-        may = hints.get(name, F.lit(True))
-        n = F.when(may, F.coalesce(F.regexp_count(text, F.lit(java)), F.lit(0))).otherwise(0)
-        counts[name] = counts[name] + n if name in counts else n
-        text = F.when(may, F.regexp_replace(text, java, new)).otherwise(text)
-    return text, counts
+        may = F.col(f"__{name}") if name in HINTS else F.lit(True)
+        n = F.when(may, F.coalesce(F.regexp_count("__t", F.lit(java)), F.lit(0))).otherwise(0)
+        out = out.withColumns({"__t": F.when(may, F.regexp_replace("__t", java, new)).otherwise(F.col("__t")), "__n": F.col("__n") + n})
+    return out.withColumns({clean: F.col("__t"), matches: F.col("__n").cast("bigint")}).drop("__t", "__n", *[f"__{k}" for k in HINTS])
 
 
 def hinted(low: Column) -> dict[str, Column]:
@@ -95,11 +99,8 @@ def hinted(low: Column) -> dict[str, Column]:
 
 def count_matches(df: DataFrame, text: str, keys: list[str], values: Iterable[str] = ()) -> DataFrame:
     """(keys, matches) summed over all patterns; only rows with matches."""
-    seen = df.where(F.col(text).isNotNull()).withColumn("__low", F.lower(F.col(text))).withColumns({f"__{k}": v for k, v in hinted(F.col("__low")).items()})
-    total = F.lit(0)
-    for n in scrub(text, list(values), {k: F.col(f"__{k}") for k in HINTS})[1].values():
-        total = total + n
-    return seen.select(*keys, total.cast("bigint").alias("matches")).where(F.col("matches") > 0)
+    found = scrub(df.where(F.col(text).isNotNull()).select(*keys, F.col(text).alias("__text")), "__text", list(values), "__clean", "__matches")
+    return found.select(*keys, F.col("__matches").alias("matches")).where(F.col("matches") > 0)
 
 
 # --- over records and files -------------------------------------------------------------------------------------------

@@ -20,9 +20,7 @@ SAMPLES = {
 
 def test_each_pattern_in_python_and_jvm(spark):
     df = spark.createDataFrame([(k, v) for k, v in SAMPLES.items()] + [("none", "nothing here"), ("null", None), ("twice", "a token=abcdefgh1 b token=abcdefgh2")], "k string, t string")
-    text, counts = R.scrub("t")
-    total = sum(counts.values(), start=next(iter(counts.values())) * 0)
-    rows = {r.k: r for r in df.select("k", text.alias("clean"), total.alias("n")).collect()}
+    rows = {r.k: r for r in R.scrub(df, "t", matches="n").collect()}
     for k, v in SAMPLES.items():
         clean, n = R.scrub_text(v, [])
         assert n >= 1 and (rows[k].clean, rows[k].n) == (clean, n), k
@@ -67,3 +65,14 @@ def test_files(spark, tmp_path):
     lines = (tmp_path / "a.jsonl").read_text().split("\n")
     assert lines[0] == old and R.MARK in lines[1] and lines[2].startswith("{broken") and (tmp_path / "a.jsonl").stat().st_mode & 0o777 == 0o640
     assert sum(r.matches for r in R.scan(files, since).collect()) == 0
+
+
+def test_many_exact_values(spark):
+    """Fifty values are one step; quotes of regular expressions inside them mean nothing."""
+    values = R.normalize([f"val.{i}*\\E(x" for i in range(50)] + ["val.1*\\E(xyz", "$1plain$0"])
+    texts = [f"a {v} b {v}c" for v in values] + ["none", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string")
+    got = {r.k: (r.clean, r.matches) for r in R.scrub(df, "t", values).collect()}
+    assert got[51] == (f"a {R.MARK} b {R.MARK}c", 2) and all(got[i] == R.scrub_text(t, values) for i, t in enumerate(texts) if t) and got[53] == (None, 0)
+    plan = R.scrub(df, "t", values)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") <= 2 * len(R.PATTERNS) + 2
