@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.plans import data_quality, retrieval, secrets
+from skein.plans import data_quality, ingest, retrieval, secrets
 
-MODULES = (retrieval, secrets, data_quality)
+MODULES = (retrieval, secrets, ingest, data_quality)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
