@@ -58,11 +58,15 @@ _PATHLIKE = re.compile(r"/|\.[a-z_]|[0-9a-f]{6}")
 _HAN = "\u3400-\u9fff"
 _PLAIN = rf"[{_HAN}]|[^\W\d_{_HAN}]+(?:['’-][^\W\d_{_HAN}]+)*"
 _WORD = re.compile(rf"⟦p⟧|⟦path⟧|⟦field⟧|{_PLAIN}|\d+")
+#: The same for texts of ASCII alone, which is quicker.
+_ASCII_WORD = re.compile(r"[a-z]+(?:['-][a-z]+)*|\d+")
 #: The plain words again, as Java's regular expressions have them.
 _JAVA_WORD = r"[\x{3400}-\x{9fff}]|[\p{L}&&[^\x{3400}-\x{9fff}]]+(?:['’-][\p{L}&&[^\x{3400}-\x{9fff}]]+)*"
 _MENU = re.compile(r"^\s*(?:©|\(c\)|copyright\b)|^\s*(?:[-*•]\s*)?[^|/.:\n]{1,25}(?:\s+[|/]\s+[^|/.:\n]{1,25})+\s*$", re.I)
 #: A line of a stack trace: it says nothing about where the text comes from and is set aside.
 _TRACE = re.compile(r"^\s*at \S+ \(\S+:\d+\)\s*$")
+#: Without one of these there is but one sentence.
+_END = re.compile(r"[.!?]\s|[。！？]")
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])")
 
 
@@ -81,8 +85,14 @@ def unfilled(line: str) -> bool:
     return any(m in line for m in _MARKS) and bool(_PLACEHOLDER.search(line)) or line.rstrip().endswith(("...", "…")) and bool(_DOTS.search(line))
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text, in lower case."""
+    low = text.lower()
+    return (_ASCII_WORD if low.isascii() else _WORD).findall(low)
+
+
 def tokens(text: str) -> list[str]:
-    return ["0" if t[0].isdigit() else t for t in _WORD.findall(text.lower())]
+    return ["0" if t[0].isdigit() else t for t in words_of(text)]
 
 
 def read_exemplars(path: str = EXEMPLARS) -> list[tuple[str, str]]:
@@ -93,11 +103,7 @@ def read_exemplars(path: str = EXEMPLARS) -> list[tuple[str, str]]:
 
 def passages(text: str) -> list[str]:
     """Lines, and the sentences of lines that hold several."""
-    out = []
-    for line in text.splitlines():
-        if line.strip():
-            out.extend(x for x in _SENTENCE.split(line) if x.strip())
-    return out
+    return [x for line in text.splitlines() for x in (_SENTENCE.split(line) if _END.search(line) else (line,)) if x.strip()]
 
 
 def weights(counts: dict[str, int], n: int) -> tuple[dict[str, float], float]:
@@ -133,16 +139,17 @@ class Index:
         held = {w: get(w, unknown) for w in words}
         if len(held) < len(words):
             held = {w: get(w, unknown) * (1 + math.log(n)) for w, n in Counter(words).items()}
-        enough = CONTAINMENT * sum(held.values()) * (1 - 1e-9)
+        total = sum(held.values())
+        enough = CONTAINMENT * total * (1 - 1e-9)
         # no exemplars hold more than what all of them hold together
-        if sum([x for w, x in held.items() if w in self.all]) < enough:
+        if total - sum([held[w] for w in held.keys() - self.all]) < enough:
             return 0.0, ""
         top = (0.0, "")
         for kind, post in self.post.items():
             open_ = {w: x for w, x in held.items() if w in post}
             if sum(open_.values()) >= enough and not self.retrieving.isdisjoint(open_):
                 top = max(top, (self._together(post, open_, ALONE / CONTAINMENT * enough), kind))
-        return top[0] / sum(held.values()), top[1]
+        return top[0] / total, top[1]
 
     def _together(self, post: dict[str, list[int]], open_: dict[str, float], alone: float) -> float:
         """The weight that NEAREST exemplars hold together: the one that holds most, then each time the one that adds most.
@@ -179,36 +186,31 @@ def coverage(text: str, index: Index, least: float = COVERAGE) -> tuple[float, s
 
     0 where less than `least` can be reached: only lines that retrieve an exemplar at all can be covered or turn out to be menus.
     """
-    words, lines = 0, []
+    words, parts = 0, []
     for line in text.splitlines():
         if ("|" in line or "/" in line or "©" in line or "opyright" in line) and _MENU.search(line) or _TRACE.match(line):
             continue
-        found = _WORD.findall(line.lower())
-        # a placeholder without letters or digits is one word
-        words += len(found) or (1 if unfilled(line) else 0)
-        if not index.keys.isdisjoint(found) or unfilled(line):
-            lines.append((line, found))
+        for p in passages(line):
+            found = words_of(p)
+            open_field = unfilled(p)
+            size = len(found) or (1 if open_field else 0)  # a placeholder without letters or digits is one word
+            words += size
+            if open_field or not index.keys.isdisjoint(found):
+                parts.append((size, p, found))
     # what can still be covered; less than `least` of all words stays less when menus leave the count
-    open_, enough = sum(len(found) or 1 for _, found in lines), least * words
-    if not lines or open_ < enough:
+    open_, enough = sum(x[0] for x in parts), least * words
+    if not parts or open_ < enough:
         return 0.0, ""
     covered = 0
     kinds: dict[str, int] = {}
-    for line, found in lines:
-        parts = [x for x in _SENTENCE.split(line) if x.strip()]
-        for p in parts:
-            raw = found if len(parts) == 1 else _WORD.findall(p.lower())
-            size = len(raw) or (1 if unfilled(p) else 0)
-            if not size:
-                continue
-            c, kind = _contained(p, index, raw)
-            if c >= CONTAINMENT and kind == "menu":
-                words -= size
-                continue
-            if c >= CONTAINMENT:
-                covered += size
-                kinds[kind] = kinds.get(kind, 0) + size
-                continue
+    for size, p, found in sorted(parts, key=lambda x: -x[0]):  # the longest first, as they decide soonest
+        c, kind = _contained(p, index, found)
+        if c >= CONTAINMENT and kind == "menu":
+            words -= size
+        elif c >= CONTAINMENT:
+            covered += size
+            kinds[kind] = kinds.get(kind, 0) + size
+        else:
             open_ -= size
             if open_ < enough:
                 return 0.0, ""
