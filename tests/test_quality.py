@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,26 +50,35 @@ def test_several_parents(spark):
     assert {(r.node, r.ancestor) for r in ancestor_pairs(links).collect()} == {("a", "b"), ("a", "c"), ("a", "d"), ("b", "d"), ("c", "d")}
 
 
-@pytest.mark.parametrize("slots", [D.MIN_SLOTS, 16])
-def test_redelivered(spark, slots):
-    """Also with filters so small that nearly everything passes them."""
+@pytest.mark.parametrize("slice_rows,recent", [(1 << 20, 1 << 16), (50, 4)])
+def test_redelivered(spark, slice_rows, recent):
+    """Also with filters so small that nearly everything passes them, many slices and a cache that forgets."""
     rng = random.Random(1)
     rows = [(i, f"s{rng.randrange(5)}", f"e{rng.randrange(150)}" if rng.random() < 0.9 else None, 1_700_000_000 + rng.randrange(10**6), "x") for i in range(600)]
-    rows += [(600 + i, "hot", "one", 1_700_000_000 + i if i % 3 else None, "x") for i in range(300)]
+    rows += [(600 + i, "hot", "one", 1_700_000_000 + i * 3000 if i % 3 else None, "x") for i in range(300)]
+    rng.shuffle(rows)
     df = spark.createDataFrame(rows, "seq bigint, s string, e string, at bigint, h string").withColumn("at", F.timestamp_seconds("at"))
-    seen, want = set(), set()
-    for seq, s, e, *_ in rows:
+    want, seen = set(), set()
+    for seq, s, e, *_ in sorted(rows):
         if e is not None:
             want |= {seq} if (s, e) in seen else set()
             seen.add((s, e))
-    D.MIN_SLOTS, old = slots, D.MIN_SLOTS
-    try:
-        got = [r.seq for r in D.redelivered(df, ["s", "e"], "seq", "at", max_slots=slots).collect()]
-    finally:
-        D.MIN_SLOTS = old
+    got = [r.seq for r in D.redelivered(df, ["s", "e"], "seq", "at", slice_rows, recent, D.DENSITY if slice_rows > 100 else 0).collect()]
     assert set(got) == want and len(got) == len(want)
-    assert D.keep_first(df, ["s", "e"], "seq", "at").count() == len(rows) - len(want)
-    assert D.redelivered(df.limit(0), ["s", "e"], "seq", "at").count() == 0
+    if slice_rows > 100:
+        assert D.keep_first(df, ["s", "e"], "seq", "at").count() == len(rows) - len(want)
+        assert D.redelivered(df.limit(0), ["s", "e"], "seq", "at").count() == 0
+
+
+def test_set_aside_and_screen():
+    """A hot identifier sends few rows to its slice; the share that passes the filters doesn't grow with the rows."""
+    rng = np.random.default_rng(2)
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.full(1000, 7)), pa.array(rng.integers(0, 3, 1000).astype(np.int32)), pa.array(range(k * 1000, k * 1000 + 1000))], ["h", "bucket", "__order"]) for k in range(5)]
+    how = np.concatenate([b.column(3).to_numpy() for b in D._set_aside(64)(iter(batches))])
+    assert (how == D.NEW).sum() <= 6 and (how == D.TWICE).sum() <= 6 and (how == D.ASIDE).sum() >= 4990
+    for n in (2_000, 200_000):
+        b = pa.RecordBatch.from_arrays([pa.array(rng.integers(-(1 << 62), 1 << 62, n)), pa.array(rng.integers(0, 32, n).astype(np.int32)), pa.array(range(n)), pa.array(np.zeros(n, np.int8))], ["h", "bucket", "__order", "how"])
+        assert sum(x.num_rows for x in D._screen(D.DENSITY)(iter([b]))) < 0.02 * n
 
 
 def test_references(spark):
