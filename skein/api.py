@@ -54,7 +54,7 @@ class Params:
     output: bool = False
     sources: bool = False
     secrets: bool = False
-    since_hours: int = 0
+    since_hours: int = 48
     apply: bool = False
     secret_files: list[str] = field(default_factory=list)
 
@@ -81,13 +81,24 @@ def current_session(environment: dict[str, str] | None = None) -> str:
     return name.rpartition("_")[2] if "_" in name else ""
 
 
-def highlight(text: str, pattern: str, length: int) -> str:
-    """An excerpt around the first word that a search term finds."""
-    wanted = [stem(w) for _, _, w in tokenize(pattern)]
-    hits = [(a, b) for a, b, w in tokenize(text) if any(stem(w).startswith(x) for x in wanted)]
+def highlight(text: str, phrases: list[M.Phrase], length: int) -> str:
+    """An excerpt of the place that shows the most different phrases of a search; those that mustn't occur don't count."""
+    wanted = [(w, p.prefix and i + 1 == len(p.words), k) for k, p in enumerate(phrases) for i, w in enumerate(p.words)]
+    hits = []
+    for a, b, w in tokenize(text):
+        s = stem(w)
+        found = next((k for x, begins, k in wanted if s == x or (begins and s.startswith(x))), None)
+        if found is not None:
+            hits.append((a, b, found))
     return excerpt(text, hits, min(length, COMPACT))
 
 
+def camel(name: str) -> str:
+    """A column's name as responses write it."""
+    first, *rest = name.split("_")
+    return first + "".join(x.capitalize() for x in rest)
+
+
 class Service:
     """Queries over the current snapshot of a store."""
 
@@ -114,31 +125,38 @@ class Service:
         rows = self._rows(R.lineage(c, R.last(c, n, p.scope(), now_ms)).orderBy(F.desc("ts_ms"), F.desc("seq")), p)
         return response(rows, p.length, p.budget, p.full, not p.all)
 
+    @staticmethod
+    def _options(p: Params, limit: int) -> R.SearchOptions:
+        return R.SearchOptions(p.pattern, limit, p.any, p.raw, p.scope(), p.window, p.per_session, p.reduce_noise)
+
     def _search(self, c: R.Corpus, p: Params, command: str, now_ms: int) -> tuple[list[dict[str, Any]], DataFrame, bool, bool]:
         n = p.count(command)
-        o = R.SearchOptions(p.pattern, n + 1 if n else 0, p.any, p.raw, p.scope(), p.window, p.per_session, p.reduce_noise)
-        page, relaxed = R.search_relaxed(c, o, now_ms)
-        rows = self._rows(page.orderBy("rank"))
+        page, relaxed = R.search_relaxed(c, self._options(p, n + 1 if n else 0), now_ms)
+        rows = self._rows(R.lineage(c, page).orderBy("rank"))
         more = bool(n) and len(rows) > n
         return (rows[:n] if n else rows), page.where(F.col("rank") <= n) if n else page, more, relaxed
 
     def search(self, p: Params, now_ms: int) -> dict[str, Any]:
-        rows, _, more, relaxed = self._search(self.corpus(), p, "search", now_ms)
+        c = self.corpus()
+        rows, _, more, relaxed = self._search(c, p, "search", now_ms)
+        phrases = M.phrases(R.compile_search(c, self._options(p, 0)))
         for r in rows:
-            r["preview"] = highlight((r["prose"] if not p.all else r["content"]) or "", p.pattern, p.length) or None
+            r["preview"] = highlight((r["prose"] if not p.all else r["content"]) or "", phrases, p.length) or None
         return response(rows, p.length, p.budget, p.full, not p.all, more, relaxed)
 
     def read(self, p: Params) -> dict[str, Any]:
         before, after = (5 if x < 0 else x for x in (p.before, p.after))
-        return response(self._rows(R.around(self.corpus(), p.id, before, after, not p.all), p), p.length, p.budget, p.full, not p.all)
+        c = self.corpus()
+        near = R.lineage(c, R.around(c, p.id, before, after, not p.all)).orderBy("ts_ms", "seq")
+        return response(self._rows(near, p), p.length, p.budget, p.full, not p.all)
 
     def context(self, p: Params, now_ms: int) -> dict[str, Any]:
         before, after = 3 if p.before < 0 else p.before, 8 if p.after < 0 else p.after
         c = self.corpus()  # hits and neighbours from one snapshot
         rows, page, more, relaxed = self._search(c, p, "context", now_ms)
-        near = self._rows(R.context(c, page, before, after, not p.all), p) if rows else []
+        near = self._rows(R.lineage(c, R.context(c, page, before, after, not p.all)).orderBy("session_id", "ts_ms", "id"), p) if rows else []
         whole = response(near, p.length, p.budget, p.full, not p.all, more, relaxed)
-        return whole | {"hits": response(rows, p.length, 0, p.full, not p.all)["results"]}
+        return whole | {"query": p.pattern, "totalHits": len(rows), "hits": response(rows, p.length, 0, p.full, not p.all)["results"]}
 
     def sessions(self, p: Params) -> dict[str, Any]:
         c = self.corpus()
@@ -146,14 +164,15 @@ class Service:
         rows = ask(p.any)
         if not rows and len(p.pattern.split()) > 1 and not p.any:
             rows = ask(True)
-        return {"sessions": [{"sessionId": r.session_id, "cwd": r.cwd, "visibility": r.visibility, "parent": r.parent, "latest": stamp(r.latest_ts_ms) if r.latest_ts_ms else "", "preview": preview_text(r.preview or "", p.length), "messageCount": r.message_count} for r in rows], "total": len(rows)}
+        return {"sessions": [{"sessionId": r.session_id, "cwd": r.cwd, "visibility": r.visibility, "parentSessionId": r.parent, "lastTimestamp": stamp(r.latest_ts_ms) if r.latest_ts_ms else "", "lastPreview": preview_text(r.preview or "", p.length), "messageCount": r.message_count} for r in rows], "total": len(rows)}
 
     @staticmethod
     def _activity(r: Any, full: bool) -> dict[str, Any]:
         d = r.asDict()
         for k in ("started_at", "completed_at"):
             d[k] = stamp(d[k]) if d[k] else ""
-        return d if full else {k: preview_text(v, 100) if isinstance(v, str) and k in ("title", "description", "result_summary") else v for k, v in d.items()}
+        short = d if full else {k: preview_text(v, 100) if isinstance(v, str) and k in ("title", "description", "result_summary") else v for k, v in d.items()}
+        return {camel(k): v for k, v in short.items()}
 
     def activities(self, p: Params) -> dict[str, Any]:
         rows = R.activities(self.corpus(), p.count("activities"), p.session, p.status).collect()

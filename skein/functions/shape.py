@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from skein.functions.text import clip, preview_text
 
+#: Fields that a result only has where they say something, with their columns.
+LINKS = (("activityId", "activity_id"), ("activityRole", "activity_role"), ("parentActivityId", "parent_activity_id"), ("parentSessionId", "parent_session_id"), ("childSessionId", "child_session_id"), ("hitIds", "hit_ids"))
 MIN_PREVIEW, DEFAULT_BUDGET, COMPACT = 40, 60_000, 512
 
 
@@ -28,11 +30,17 @@ class Budget:
 
 
 def water_fill(natural: list[int], budget: int) -> list[int]:
-    """Shares of a budget: everyone gets the same, and what small ones leave over goes to the larger ones."""
-    out, left = [0] * len(natural), budget
-    for k, i in enumerate(sorted(range(len(natural)), key=natural.__getitem__)):
-        out[i] = min(natural[i], left // (len(natural) - k))
-        left -= out[i]
+    """Shares of a budget: everyone gets what they need up to one level, the highest that the budget allows; what is over
+    after that goes to the last ones above the level, one each."""
+    low, high = 0, max(natural, default=0)
+    while low < high:
+        level = (low + high + 1) // 2
+        low, high = (level, high) if sum(min(n, level) for n in natural) <= budget else (low, level - 1)
+    out = [min(n, low) for n in natural]
+    over = budget - sum(out)
+    above = sorted((i for i, n in enumerate(natural) if n > low), key=lambda i: natural[i])
+    for i in above[len(above) - min(over, len(above)) :] if over > 0 else ():
+        out[i] += 1
     return out
 
 
@@ -90,6 +98,6 @@ def response(rows: list[dict[str, Any]], length: int = 200, budget: int = DEFAUL
     for r, b, n, a in zip(rows, bodies, natural, allowed):
         shrunk += a < n
         out = {"id": r["id"], "sessionId": r.get("session_id") or "", "timestamp": stamp(r.get("ts_ms")), "type": r.get("type") or "", "content" if full else "preview": render(b, a, n, length, full), "charCount": r.get("prose_char_count" if prose else "char_count") or 0}
-        results.append(out | {k: r[c] for k, c in (("activityId", "activity_id"), ("hitIds", "hit_ids")) if r.get(c)})
+        results.append(out | {k: r[c] for k, c in LINKS if r.get(c)})
     used = Budget(budget, len(rows) - len(allowed), shrunk)
     return {"results": results, "total": len(results), "truncated": truncated or used.dropped > 0, "relaxed": relaxed, "budget": {"limit": budget, "dropped": used.dropped, "shrunk": used.shrunk, "hit": used.hit}}

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from bisect import bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
@@ -176,40 +179,41 @@ def clip(text: str, limit: int) -> str:
     return text[:limit]
 
 
-def excerpt(text: str, hits: list[tuple[int, int]], length: int) -> str:
-    """At most length characters of the flattened text around the first hit.
+#: Characters of an excerpt that may stand before its first hit: so many, and no more than a quarter of it.
+LEAD = 16
 
-    A little of what stands before the hit is kept, from a word's beginning on; … marks both cut ends.
+
+def excerpt(text: str, hits: list[tuple], length: int) -> str:
+    """At most length characters of the flattened text, where it shows the most different terms, the earliest of equal places.
+
+    hits: (start, end) or (start, end, term), in order. Whole words stand around the hits; … marks cut ends where there is room.
     """
     if not hits or length <= 0:
         return ""
-    a, b = hits[0]
-    before = " ".join(text[:a].split())
-    if before and text[a - 1 : a].isspace():
-        before += " "
-    hit = " ".join(text[a:b].split())
-    after = " ".join(text[b:].split())
-    if after and text[b : b + 1].isspace():
-        after = " " + after
-    flat, start, end = before + hit + after, len(before), len(before) + len(hit)
+    words = [m.span() for m in re.finditer(r"\S+", text)]
+    flat = " ".join(text[a:b] for a, b in words)
     if len(flat) <= length:
         return flat
-    if length == 1:
-        return flat[start]
-    begin = max(0, start - min(length // 4, 16))
-    while 0 < begin < start and not flat[begin - 1].isspace():
-        begin += 1
-    lead = "… " if begin and length > 3 else ""
-    room = length - len(lead)
-    if end - begin > room >= end - start:
-        begin = end - room
-        if begin and length > 3:
-            lead, room = "… ", length - 2
-    stop = min(len(flat), begin + room)
-    out = lead + flat[begin:stop]
-    if stop < len(flat):
-        out = out + "…" if len(out) < length else out[: length - 1] + "…"
-    return out.strip()
+    starts = [0, *accumulate(b - a + 1 for a, b in words)]
+    begins = [a for a, _ in words]
+
+    def place(i: int) -> int:
+        k = max(0, bisect_right(begins, i) - 1)
+        return starts[k] + min(i, words[k][1]) - begins[k]
+
+    marks = length > 6
+    room = length - 3 if marks else length
+    spans = [(place(h[0]), place(h[1]), h[2] if len(h) > 2 else 0) for h in hits]
+    shown: tuple[int, int, int] = (0, 0, 0)  # different terms, minus the first hit, the last hit
+    for i, (first, _, _) in enumerate(spans):
+        inside = [k for k in range(i, min(len(spans), i + room)) if spans[k][1] - first <= room] or [i]
+        shown = max(shown, (len({spans[k][2] for k in inside}), -i, inside[-1]), key=lambda x: x[:2])
+    start, end = spans[-shown[1]][0], min(spans[shown[2]][1], spans[-shown[1]][0] + room)
+    begin = min((w for w in starts[: len(words)] if 0 <= start - w <= min(LEAD, length // 4) and end - w <= room), default=start)
+    most = begin + (length - 1 if marks and not begin else room)
+    stop = max((w + b - a for w, (a, b) in zip(starts, words) if end <= w + b - a <= most), default=min(len(flat), most))
+    out = flat[begin:stop].strip()
+    return ("… " if begin and marks else "") + out + ("…" if stop < len(flat) and marks else "")
 
 
 def sanitize(text: str, keep_layout: bool = False) -> str:

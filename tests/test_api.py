@@ -72,7 +72,10 @@ def test_service(service):
     assert cmd[0]["arguments"] == {"command": "docker compose up"} and cmd[0]["output"].startswith("no such")
     assert service.sessions(api.Params(pattern="needle"))["sessions"][0]["messageCount"] == 5
     assert service.info(api.Params(sources=True))["messages"] == 5 and service.doctor(api.Params(), NOW)["ok"]
-    assert service.redact(api.Params(), NOW)["matches"] == 1
+    assert service.redact(api.Params(since_hours=0), NOW)["matches"] == 1 and service.redact(api.Params(), NOW)["matches"] == 0  # the last 48 hours
+    assert near["query"] == "deployed" and near["totalHits"] == 1
+    raw = service.search(api.Params(pattern="needle NOT docker", raw=True), NOW)["results"]
+    assert all("needle" in r["preview"] for r in raw)
 
 
 def test_command_line(service, spark, monkeypatch):

@@ -1,5 +1,6 @@
 """Stems, expressions and ranks against SQLite's full-text engine; previews and excerpts."""
 
+import re
 import sqlite3
 
 import pytest
@@ -110,6 +111,13 @@ def test_excerpts():
     assert excerpt("short needle text", [(6, 12)], 60) == "short needle text" and excerpt("x", [], 10) == ""
 
 
+def test_excerpt_shows_most_terms():
+    text = "alpha " + "w " * 100 + "alpha beta gamma " + "w " * 100 + "beta"
+    hits = [(m.start(), m.end(), m[0]) for m in re.finditer("alpha|beta|gamma", text)]
+    assert "alpha beta gamma" in excerpt(text, hits, 50) and len(excerpt(text, hits, 50)) <= 50
+    assert excerpt(text, hits[:1], 20).startswith("alpha w") and excerpt("x" * 100 + "needle" + "x" * 100, [(100, 106)], 20).startswith("… needle")
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="ab éß\n", max_size=120), st.integers(1, 40))
 def test_excerpt_limits(text, n):
