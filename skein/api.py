@@ -10,7 +10,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.functions.shape import COMPACT, DEFAULT_BUDGET, response, stamp
+from skein import schema as S
+from skein.functions.shape import COMPACT, DEFAULT_BUDGET, most_rows, response, stamp
 from skein.functions.text import excerpt, preview_text, stem, tokenize
 from skein.operators import retrieve as R
 from skein.operators import secrets
@@ -121,9 +122,12 @@ class Service:
 
     def last(self, p: Params, now_ms: int) -> dict[str, Any]:
         n = 0 if p.limit < 0 and p.hours else p.count("last")
-        c = self.corpus()
+        c, most = self.corpus(), most_rows(p.budget, p.full)
+        unread = 0
+        if not n and most:  # an open page ends where its budget must be spent; what lies beyond is only counted
+            n, unread = most, max(0, R.last(c, 0, p.scope(), now_ms).count() - most)
         rows = self._rows(R.lineage(c, R.last(c, n, p.scope(), now_ms)).orderBy(F.desc("ts_ms"), F.desc("seq")), p)
-        return response(rows, p.length, p.budget, p.full, not p.all)
+        return response(rows, p.length, p.budget, p.full, not p.all, unread=unread)
 
     @staticmethod
     def _options(p: Params, limit: int) -> R.SearchOptions:
@@ -196,12 +200,26 @@ class Service:
 
     def info(self, p: Params) -> dict[str, Any]:
         c, fresh = self.corpus(), self.store.freshness(self.roots)
-        out = {r.name: r.n for r in R.info(c).collect()} | {"snapshot": os.path.basename(c.directory), "attempted": stamp(fresh.attempted_ms), "succeeded": stamp(fresh.succeeded_ms), "error": fresh.error}
-        return out | ({"sources": [r.asDict() for r in R.info_sources(c).orderBy("path").collect()]} if p.sources else {})
+        n, wrong = {r.name: r.n for r in R.info(c).collect()}, self.store.check()
+        out = {
+            "indexPath": c.directory, "schemaVersion": S.SCHEMA_VERSION, "messageCount": n["messages"], "sessionCount": n["sessions"], "activityCount": n["activities"], "fileCount": n["sources"],
+            "currentSession": current_session(), "indexHealthy": not wrong, "lockHealthy": self.store.lock_is_free(), "binaryPath": os.path.dirname(os.path.abspath(__file__)),
+            "freshness": {"attempted": stamp(fresh.attempted_ms), "succeeded": stamp(fresh.succeeded_ms), "error": fresh.error, "roots": fresh.roots},
+        }
+        if p.sources:  # streamed, as there is a row a file
+            out["sources"] = [{"path": r.path, "messageCount": r.messages, "sessionCount": r.sessions} for r in R.info_sources(c).orderBy("path").toLocalIterator()]
+        return out
 
     def doctor(self, p: Params, now_ms: int) -> dict[str, Any]:
-        wrong = self.store.check()
-        out: dict[str, Any] = {"ok": not wrong, "problems": "; ".join(wrong)}
+        wrong, fresh = self.store.check(), self.store.freshness(self.roots)
+        there = [r for r in self.roots if os.path.isdir(r)]
+        checks = [
+            {"name": "index", "ok": not wrong, "detail": "; ".join(wrong)},
+            {"name": "lock", "ok": self.store.lock_is_free(), "detail": ""},
+            {"name": "roots", "ok": bool(there), "detail": ", ".join(there)},
+            {"name": "freshness", "ok": not fresh.error and not fresh.stale(now_ms), "detail": fresh.error or stamp(fresh.succeeded_ms)},
+        ]
+        out: dict[str, Any] = ({} if self.store.current() is None or wrong else self.info(p)) | {"ok": all(c["ok"] for c in checks if c["name"] != "freshness"), "checks": checks}
         if p.secrets:
             out |= self.redact(Params(**{**p.__dict__, "apply": False}), now_ms)
         return out

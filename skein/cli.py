@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import os
+import subprocess
 import sys
 import time
 from dataclasses import fields
@@ -22,6 +23,12 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--store", default=os.path.expanduser("~/.cache/skein"))
     p.add_argument("--root", action="append", help="folder with transcripts; may be repeated")
     p.add_argument("--text", action="store_true", help="for people instead of JSON")
+    p.add_argument("--format", choices=("json", "text"), default="json")
+    p.add_argument("--include-current", action="store_true", help="also find what the session that asks has said")
+    p.add_argument("--hits", type=int, default=None, help="hits that context expands")
+    p.add_argument("--include-output", action="store_true", help="outputs of the commands found")
+    p.add_argument("--preview-length", type=int, default=None)
+    p.add_argument("--background", action="store_true", help="refresh only if that is due and no one else writes")
     p.add_argument("--refresh", action="store_true", help="bring the snapshot up to date first")
     p.add_argument("--window-hours", type=int, default=None)
     p.add_argument("--port", type=int, default=8377)
@@ -33,7 +40,7 @@ def parser() -> argparse.ArgumentParser:
         if f.type == "bool":
             p.add_argument(flag, action="store_true")
         elif f.type == "int":
-            p.add_argument(flag, type=int, default=f.default)
+            p.add_argument(flag, type=int, default=None if f.name == "since_hours" else f.default)
         elif f.name == "secret_files":
             p.add_argument("--secret-file", dest="secret_files", action="append", default=[])
         else:
@@ -44,6 +51,14 @@ def parser() -> argparse.ArgumentParser:
 def params(a: argparse.Namespace) -> api.Params:
     """Checked parameters, before anything is opened."""
     given = {f.name: getattr(a, f.name) for f in fields(api.Params) if hasattr(a, f.name)}
+    given["since_hours"] = next(h for h in (given["since_hours"], a.hours if a.command in ("redact", "doctor") and a.hours else None, api.Params.since_hours) if h is not None)
+    if a.command in ("redact", "doctor"):
+        given["hours"] = 0
+    if a.hits is not None:
+        given["limit"] = a.hits
+    if a.preview_length is not None:
+        given["length"] = a.preview_length
+    given["output"] = given["output"] or a.include_output
     for name in ("limit", "before", "after"):
         if given[name] < -1:
             raise api.BadRequest(f"{name} must not be negative")
@@ -61,11 +76,20 @@ def params(a: argparse.Namespace) -> api.Params:
         given["id"] = a.subject
     else:
         given["pattern"] = a.subject
-    if a.command in ("search", "context", "commands", "sessions") and not given["exclude_session"] and not given["session"]:
+    if a.command in ("search", "context", "commands", "sessions") and not a.include_current and not given["exclude_session"] and not given["session"]:
         given["exclude_session"] = api.current_session()
     return api.Params(**given)
 
 
+#: Commands that answer from the snapshot as it is and have it brought up to date behind the answer.
+ANSWERS = ("last", "search", "read", "sessions", "activities", "activity", "context", "commands")
+
+
+def refresher(store: str, roots: list[str]) -> list[str]:
+    """The command that refreshes a store on its own, unless it is fresh or another one writes."""
+    return [sys.executable, "-m", "skein.cli", "refresh", "--background", "--store", os.path.abspath(store), *(x for r in roots for x in ("--root", os.path.abspath(r)))]
+
+
 def run(argv: list[str], out=sys.stdout, err=sys.stderr, spark=None, now_ms: int | None = None) -> int:
     try:
         a = parser().parse_args(argv)
@@ -76,9 +100,9 @@ def run(argv: list[str], out=sys.stdout, err=sys.stderr, spark=None, now_ms: int
     except api.BadRequest as e:
         print(f"skein: {e}", file=err)
         return 2
-    now = int(time.time() * 1000) if now_ms is None else now_ms
+    now, own = int(time.time() * 1000) if now_ms is None else now_ms, spark is None
     try:
-        if spark is None:
+        if own:
             from skein.session import local_session
 
             spark = local_session("skein-cli")
@@ -92,8 +116,11 @@ def run(argv: list[str], out=sys.stdout, err=sys.stderr, spark=None, now_ms: int
             service.refresh(now, force=a.refresh)
         timed = {"last", "search", "context", "commands", "doctor", "redact"}
         call = getattr(service, a.command)
-        value = call(now, session=p.session) if a.command == "rebuild" else call(now) if a.command == "refresh" else call(p, now) if a.command in timed else call(p)
-        out.write(text(value) if a.text else json_line(value) + "\n")
+        value = call(now, session=p.session) if a.command == "rebuild" else call(now, force=not a.background, background=a.background) if a.command == "refresh" else call(p, now) if a.command in timed else call(p)
+        out.write(text(value) if a.text or a.format == "text" else json_line(value) + "\n")
+        if own and a.command in ANSWERS and service.store.freshness(service.roots).stale(now):
+            out.flush()
+            subprocess.Popen(refresher(a.store, service.roots), stdin=subprocess.DEVNULL, stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL, start_new_session=True)
         return 0
     except api.ERRORS[1][0] as e:
         print(f"skein: bad query: {e}", file=err)
@@ -103,5 +130,9 @@ def run(argv: list[str], out=sys.stdout, err=sys.stderr, spark=None, now_ms: int
         return 1
 
 
-if __name__ == "__main__":
+def main() -> None:
     sys.exit(run(sys.argv[1:]))
+
+
+if __name__ == "__main__":
+    main()

@@ -64,6 +64,11 @@ def plan(natural: list[int], budget: int, full: bool = False) -> list[int]:
     return kept or [budget]
 
 
+def most_rows(budget: int, full: bool) -> int:
+    """More results than this never fit into a budget; 0 where there is none."""
+    return 0 if budget <= 0 else budget + 1 if full else budget // MIN_PREVIEW + 1
+
+
 def render(body: str, allowance: int, natural: int, length: int, full: bool) -> str:
     """A body within its allowance; shrinking leaves room for the …"""
     if allowance >= natural:
@@ -82,8 +87,8 @@ def stamp(ms: int | None) -> str:
     return datetime.fromtimestamp((ms or 0) / 1000, UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
-def response(rows: list[dict[str, Any]], length: int = 200, budget: int = DEFAULT_BUDGET, full: bool = False, prose: bool = True, truncated: bool = False, relaxed: bool = False) -> dict[str, Any]:
-    """The document for a page of messages (dicts of message columns, best first)."""
+def response(rows: list[dict[str, Any]], length: int = 200, budget: int = DEFAULT_BUDGET, full: bool = False, prose: bool = True, truncated: bool = False, relaxed: bool = False, unread: int = 0) -> dict[str, Any]:
+    """The document for a page of messages (dicts of message columns, best first). unread: further ones that can't fit into the budget."""
 
     def body(r: dict[str, Any]) -> str:
         said, whole = r.get("prose") or "", r.get("content") or ""
@@ -99,5 +104,5 @@ def response(rows: list[dict[str, Any]], length: int = 200, budget: int = DEFAUL
         shrunk += a < n
         out = {"id": r["id"], "sessionId": r.get("session_id") or "", "timestamp": stamp(r.get("ts_ms")), "type": r.get("type") or "", "content" if full else "preview": render(b, a, n, length, full), "charCount": r.get("prose_char_count" if prose else "char_count") or 0}
         results.append(out | {k: r[c] for k, c in LINKS if r.get(c)})
-    used = Budget(budget, len(rows) - len(allowed), shrunk)
+    used = Budget(budget, len(rows) - len(allowed) + unread, shrunk)
     return {"results": results, "total": len(results), "truncated": truncated or used.dropped > 0, "relaxed": relaxed, "budget": {"limit": budget, "dropped": used.dropped, "shrunk": used.shrunk, "hit": used.hit}}

@@ -397,6 +397,7 @@ def info(corpus: Corpus) -> DataFrame:
 
 
 def info_sources(corpus: Corpus) -> DataFrame:
-    """(path, messages): messages of each source; sources without messages have 0."""
+    """(path, sessions, messages): sessions and messages of each source; sources without messages have 0."""
     counts = corpus.messages.groupBy(F.col("source_path").alias("path")).agg(F.count("*").alias("messages"))
-    return corpus.sessions.select(F.col("source_path").alias("path")).distinct().join(counts, "path", "left").select("path", F.coalesce("messages", F.lit(0)).alias("messages"))
+    named = corpus.sessions.groupBy(F.col("source_path").alias("path")).agg(F.count("*").alias("sessions"))
+    return named.join(counts, "path", "left").select("path", "sessions", F.coalesce("messages", F.lit(0)).alias("messages"))

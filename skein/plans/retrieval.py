@@ -271,7 +271,7 @@ SELECT invocation_id, message_id, ts_ms, length(o) AS output_chars FROM d WHERE
     "command_output_search": f"""WITH d AS (SELECT i.*, {_TOK.format(f"coalesce({_OUT}, '')")} AS o FROM tool_invocations i WHERE {_CMD})
 SELECT invocation_id, ts_ms FROM d WHERE {_has('o', 'fail')} > 0 AND {_bigram('o', 'web', 'queue')} > 0 ORDER BY ts_ms DESC NULLS LAST, message_id, invocation_id LIMIT 50""",
     "table_counts": "SELECT 'messages' AS name, count(*) AS n FROM messages UNION ALL SELECT 'sessions', count(*) FROM sessions UNION ALL SELECT 'activities', count(*) FROM activities UNION ALL SELECT 'sources', count(DISTINCT source_path) FROM sessions",
-    "source_counts": "SELECT s.source_path AS path, count(m.seq) AS messages FROM (SELECT DISTINCT source_path FROM sessions) s LEFT JOIN messages m USING (source_path) GROUP BY 1",
+    "source_counts": "SELECT s.source_path AS path, any_value(s.n) AS sessions, count(m.seq) AS messages FROM (SELECT source_path, count(*) AS n FROM sessions GROUP BY 1) s LEFT JOIN messages m ON m.source_path IS NOT DISTINCT FROM s.source_path AND m.source_path IS NOT NULL GROUP BY 1",
     "source_projections": f"""SELECT source_path, count(*) AS message_count, max(ts_ms) AS latest_ts_ms, arg_max(id, row(coalesce(ts_ms, -1), seq)) AS latest_id,
 {_pre("arg_max(CASE WHEN coalesce(prose, '') <> '' THEN prose ELSE coalesce(content, chr(0)) END, row(coalesce(ts_ms, -1), seq))").replace("left(", "nullif(left(", 1)}, chr(0)) AS latest_prefix FROM messages GROUP BY 1""",
     "message_prefixes": f"SELECT seq, {_pre('content')} AS content_prefix, {_pre('prose')} AS prose_prefix, octet_length(encode(content))::BIGINT AS content_bytes, octet_length(encode(prose))::BIGINT AS prose_bytes FROM messages",

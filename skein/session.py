@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -33,9 +34,12 @@ def local_session(app: str = "skein", cores: str | int = "*", **conf: str) -> Sp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests, local runs)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary one where that is unset and all run in this process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         path = "file://" + os.path.join(tempfile.gettempdir(), f"skein-shared-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")

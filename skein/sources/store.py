@@ -132,6 +132,14 @@ class Store:
                     time.sleep(0.05)
             yield
 
+    def lock_is_free(self) -> bool:
+        """Whether the writers' lock can be had at once."""
+        try:
+            with self.lock(0.0):
+                return True
+        except (Busy, OSError):
+            return False
+
     def refresh(self, roots: list[str], now_ms: int, force: bool = False, background: bool = False) -> Stats:
         """Bring the snapshot up to date with the roots, at most every THROTTLE_MS unless forced; in background not at all while another writes."""
         try:

@@ -102,6 +102,14 @@ def _struct(ddl: str) -> str:
     return f"struct<{','.join(parts)}>"
 
 
+def check_numbers(path: str, messages: list[dict]) -> None:
+    """ValueError where lines or tool parts outnumber what their numbers have room for, as numbers would be given twice."""
+    if messages and messages[-1]["line"] >= 1 << LINE_BITS:
+        raise ValueError(f"{path}: more than {1 << LINE_BITS} lines")
+    if any(len(m[k]) > 1 << PART_BITS for m in messages for k in ("tool_calls", "tool_results")):
+        raise ValueError(f"{path}: more than {1 << PART_BITS} tool parts in one message")
+
+
 def parse(files: DataFrame) -> DataFrame:
     """(source_path, message, event, session, error): what each file holds, one of the last four a row. One file at a time in memory."""
     message, event = S.PARSED_MESSAGES.replace("source_path string, ", ""), S.EVENTS.replace("source_path string, session_id string, ord bigint, ", "") + ", n int"
@@ -113,6 +121,7 @@ def parse(files: DataFrame) -> DataFrame:
             for path, content in zip(b["path"], b["content"]):
                 try:
                     messages, events, s = parse_file(read_lines(path, content), session_name(path))
+                    check_numbers(path, messages)
                     rows = [(path, m, None, None, None) for m in messages] + [(path, None, {**e, "n": i}, None, None) for i, e in enumerate(events)]
                     rows.append((path, None, None, s.__dict__, None))
                 except (ValueError, zstandard.ZstdError) as e:

@@ -71,7 +71,10 @@ def test_service(service):
     cmd = service.commands(api.Params(pattern="docker table", output=True), NOW)["commands"]
     assert cmd[0]["arguments"] == {"command": "docker compose up"} and cmd[0]["output"].startswith("no such")
     assert service.sessions(api.Params(pattern="needle"))["sessions"][0]["messageCount"] == 5
-    assert service.info(api.Params(sources=True))["messages"] == 5 and service.doctor(api.Params(), NOW)["ok"]
+    info, doctor = service.info(api.Params(sources=True)), service.doctor(api.Params(), NOW)
+    assert info["messageCount"] == 5 and info["indexHealthy"] and info["lockHealthy"] and info["sources"][0]["sessionCount"] == 1 and doctor["ok"] and [c["name"] for c in doctor["checks"]] == ["index", "lock", "roots", "freshness"]
+    wide = service.last(api.Params(hours=10**6, budget=80), NOW)
+    assert len(wide["results"]) == 2 and wide["budget"]["dropped"] == 1 and wide["truncated"]
     assert service.redact(api.Params(since_hours=0), NOW)["matches"] == 1 and service.redact(api.Params(), NOW)["matches"] == 0  # the last 48 hours
     assert near["query"] == "deployed" and near["totalHits"] == 1
     raw = service.search(api.Params(pattern="needle NOT docker", raw=True), NOW)["results"]
@@ -90,7 +93,11 @@ def test_command_line(service, spark, monkeypatch):
     assert code == 0 and json.loads(out)["truncated"] is True
     assert run("search", "a.b", "--raw")[0] == 2 and run("search")[0] == 2 and run("last", "--hours", "-1")[0] == 2
     assert run("search", "x", "--raw", "--any")[0] == 2 and run("last", "--hours", "1", "--window-hours", "2")[0] == 2 and run("read", "nothing")[0] == 1
-    assert "id: m5" in run("last", "1", "--text")[1]
+    assert "id: m5" in run("last", "1", "--text")[1] and run("last", "1", "--format", "text")[1] == run("last", "1", "--text")[1]
+    monkeypatch.setenv("PI_SESSION_ID", "s-1")
+    assert json.loads(run("search", "needle")[1])["total"] == 0 and json.loads(run("search", "needle", "--include-current", "--preview-length", "6")[1])["results"][0]["preview"] == "needle"
+    assert json.loads(run("context", "needle", "--include-current", "--hits", "1")[1])["totalHits"] == 1
+    assert cli.refresher("a", ["b"])[2:5] == ["skein.cli", "refresh", "--background"] and json.loads(run("refresh", "--background")[1])["skipped"]
 
 
 def test_http(service):
