@@ -48,7 +48,6 @@ _NAME = r"[A-Za-z]+(?:_[A-Za-z]+)*"
 _OPEN = r"(?:\{\{|\$\{|#\{|<%=?|\[\[|«|@@|__|%|\[|<|\{)\s?"
 _CLOSE = r"\s?(?:\}\}|\}|%>|\]\]|»|@@|__|%|\]|>)"
 _PLACEHOLDER = re.compile(rf"{_OPEN}(?:(?:insert|your|enter|INSERT|YOUR|Insert|Your|Enter) )?{_NAME}(?: here| HERE)?{_CLOSE}|\[[A-Z][A-Za-z]*(?: [A-Za-z]+){{1,4}}\](?!\()|<(?:your|insert|enter|Your|Insert|Enter)(?: [A-Za-z]+){{1,4}}>|_{{4,}}")
-_MARKS = ("{", "[", "<", "%", "__", "«", "@@")
 #: A field left open with dots.
 _DOTS = re.compile(r"(?<=:) ?(?:\.\.\.|…)\s*$")
 _LABEL = re.compile(r"^\s*(?:[-*•>#]+\s*|\d+[.)]\s*)?[^\W\d_][\w '’/-]{0,39}:(?=\s)")
@@ -65,8 +64,6 @@ _JAVA_WORD = r"[\x{3400}-\x{9fff}]|[\p{L}&&[^\x{3400}-\x{9fff}]]+(?:['’-][\p{L
 _MENU = re.compile(r"^\s*(?:©|\(c\)|copyright\b)|^\s*(?:[-*•]\s*)?[^|/.:\n]{1,25}(?:\s+[|/]\s+[^|/.:\n]{1,25})+\s*$", re.I)
 #: A line of a stack trace: it says nothing about where the text comes from and is set aside.
 _TRACE = re.compile(r"^\s*at \S+ \(\S+:\d+\)\s*$")
-#: Without one of these there is but one sentence.
-_END = re.compile(r"[.!?]\s|[。！？]")
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])")
 
 
@@ -75,14 +72,24 @@ def marked(text: str) -> str:
     text = text.rstrip()
     if text.endswith(("...", "…")):
         text = _DOTS.sub(" ⟦p⟧", text)
-    if any(m in text for m in _MARKS):
+    if opened(text):
         text = _PLACEHOLDER.sub(" ⟦p⟧ ", text)
     return _PATH.sub("⟦path⟧", text) if _PATHLIKE.search(text) else text
 
 
+def opened(line: str) -> bool:
+    """Whether a line holds what no placeholder is without; told by plain lookups, as every line is asked."""
+    return "{" in line or "[" in line or "<" in line or "%" in line or "__" in line or "«" in line or "@@" in line or "..." in line or "…" in line
+
+
 def unfilled(line: str) -> bool:
     """Whether a line holds a placeholder."""
-    return any(m in line for m in _MARKS) and bool(_PLACEHOLDER.search(line)) or line.rstrip().endswith(("...", "…")) and bool(_DOTS.search(line))
+    return opened(line) and bool(_PLACEHOLDER.search(line) or _DOTS.search(line))
+
+
+def changes(line: str) -> bool:
+    """Whether placeholders, paths or a label may turn words of a line into others."""
+    return "/" in line or ":" in line or opened(line) or bool(_PATHLIKE.search(line))
 
 
 def words_of(text: str) -> list[str]:
@@ -103,7 +110,7 @@ def read_exemplars(path: str = EXEMPLARS) -> list[tuple[str, str]]:
 
 def passages(text: str) -> list[str]:
     """Lines, and the sentences of lines that hold several."""
-    return [x for line in text.splitlines() for x in (_SENTENCE.split(line) if _END.search(line) else (line,)) if x.strip()]
+    return [x for line in text.splitlines() for x in _SENTENCE.split(line) if x.strip()]
 
 
 def weights(counts: dict[str, int], n: int) -> tuple[dict[str, float], float]:
@@ -130,6 +137,15 @@ class Index:
         self.retrieving = self.keys | ({"⟦p⟧"} & self.all)
         self.weight, self.unknown = dict(weight or {}), unknown
         self.weight |= {w: MARK_WEIGHT for w in ("0", "⟦p⟧", "⟦path⟧", "⟦field⟧")}
+        self.held = {w: self.weight.get(w, unknown) for w in self.all}
+
+    def hopeless(self, words: list[str]) -> bool:
+        """Whether the words outside all exemplars weigh too much for any containment that counts; quick, and an exact bound."""
+        get = self.held.get
+        # numbers sort before letters
+        inside = sum([get(w, 0.0) for w in words]) + MARK_WEIGHT * len([w for w in words if w < ":"])
+        outside = self.unknown * len([w for w in set(words) - self.all if w > ":"])
+        return inside < CONTAINMENT * (inside + outside) * (1 - 1e-9)
 
     def best(self, words: list[str]) -> tuple[float, str]:
         """(containment, kind) of the nearest exemplars of one kind that hold most of the words' weight together; 0 where none can reach CONTAINMENT."""
@@ -173,6 +189,8 @@ class Index:
 
 def _contained(passage: str, index: Index, raw: list[str]) -> tuple[float, str]:
     """best() of a passage as it is or, where that isn't enough, with its label as a word of its own kind."""
+    if not changes(passage) and index.hopeless(raw):
+        return 0.0, ""
     m = marked(passage)
     ts = ["0" if t[0].isdigit() else t for t in raw] if m == passage.rstrip() else tokens(m)
     c, kind = index.best(ts)
@@ -188,9 +206,9 @@ def coverage(text: str, index: Index, least: float = COVERAGE) -> tuple[float, s
     """
     words, parts = 0, []
     for line in text.splitlines():
-        if ("|" in line or "/" in line or "©" in line or "opyright" in line) and _MENU.search(line) or _TRACE.match(line):
+        if ("|" in line or "/" in line or "©" in line or "opyright" in line) and _MENU.search(line) or "at " in line and _TRACE.match(line):
             continue
-        for p in passages(line):
+        for p in _SENTENCE.split(line) if "." in line or "!" in line or "?" in line or not line.isascii() else (line,):
             found = words_of(p)
             open_field = unfilled(p)
             size = len(found) or (1 if open_field else 0)  # a placeholder without letters or digits is one word
