@@ -64,8 +64,12 @@ class Corpus:
     @cached_property
     def index(self) -> DataFrame | None:
         """The postings, where the directory has them."""
+        return self.stored("postings")
+
+    def stored(self, name: str) -> DataFrame | None:
+        """A table that a snapshot keeps for its readers, where the directory has it."""
         try:
-            return self.read("postings")
+            return self.read(name)
         except AnalysisException:
             return None
 
@@ -262,9 +266,11 @@ def context(corpus: Corpus, hits: DataFrame, before: int = 3, after: int = 8, pr
 
 def source_projection(messages: DataFrame) -> DataFrame:
     """(source_path, message_count, latest_ts_ms, latest_id, latest_prefix): per source file."""
-    newest = F.max(F.struct("ts_ms", "seq", "id", "content", "prose"))
+    # stored prefixes spare the bodies
+    c, p = ("content_prefix", "prose_prefix") if "content_prefix" in messages.columns else ("content", "prose")
+    newest = F.max(F.struct("ts_ms", "seq", "id", F.col(c).alias("c"), F.col(p).alias("p")))
     g = messages.groupBy("source_path").agg(F.count("*").alias("message_count"), newest.alias("m"))
-    body = F.when(F.coalesce(F.col("m.prose"), F.lit("")) != "", F.col("m.prose")).otherwise(F.col("m.content"))
+    body = F.when(F.coalesce(F.col("m.p"), F.lit("")) != "", F.col("m.p")).otherwise(F.col("m.c"))
     return g.select("source_path", "message_count", F.col("m.ts_ms").alias("latest_ts_ms"), F.col("m.id").alias("latest_id"), prefix(body).alias("latest_prefix"))
 
 
@@ -272,7 +278,8 @@ def sessions(corpus: Corpus, query: str = "", limit: int = 20, cwd: str = "", ex
     """One row a source file, newest first: session_id, cwd, visibility, parent, latest_ts_ms, preview, message_count."""
     s = corpus.sessions
     parents = s.select(F.col("source_path").alias("parent_session"), F.col("session_id").alias("__parent")).dropDuplicates(["parent_session"])
-    rows = s.join(source_projection(corpus.messages), "source_path").join(parents, "parent_session", "left")
+    projections = corpus.stored("source_projections")
+    rows = s.join(source_projection(corpus.messages) if projections is None else projections, "source_path").join(parents, "parent_session", "left")
     if cwd:
         rows = rows.where(F.col("cwd") == cwd)
     if exclude:
@@ -377,7 +384,8 @@ def commands(corpus: Corpus, query: str = "", match: str = "both", limit: int =
     owners = corpus.messages.select(F.col("id").alias("message_id"), "source_path").join(known.select("source_path").distinct(), "source_path", "left_semi")
     calls = calls.join(owners.select("message_id"), "message_id", "left_semi")
     if node is not None:
-        docs = command_docs(calls, corpus.read("tool_results", "invocation_id", "content", "ts_ms", "result_id"))
+        kept = corpus.stored("command_documents")
+        docs = command_docs(calls, corpus.read("tool_results", "invocation_id", "content", "ts_ms", "result_id")) if kept is None else kept.join(calls.select("invocation_id"), "invocation_id", "left_semi")
         sources = {"arguments": corpus.token_column(docs, "arguments_text"), "output": corpus.token_column(docs, "output")}
         calls = docs.where(M.Evaluator.bind(sources, lambda ev: ev.matches(node)))
     page = limited(calls.orderBy(F.desc("ts_ms"), "message_id", "invocation_id"), limit)

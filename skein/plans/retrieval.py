@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from skein.functions.text import iso_seconds, prefix, preview
 from skein.operators import linking, retrieve as R
+from skein.session import scratch
+from skein.sources.index import build_index
 from skein.sources.tables import table
 
 #: The present, for all queries: 2026-06-01.
@@ -49,6 +51,35 @@ def search_all_terms(spark, directory):
     return _page(R.search(_c(spark, directory), R.SearchOptions("router window", 30), NOW_MS))
 
 
+#: The index of each directory that an application has built.
+_built: dict[tuple[str, str], str] = {}
+
+
+def _indexed(spark: SparkSession, directory: str) -> R.Corpus:
+    """The directory's corpus with an index of plain words, in the shared folder; it goes when the application ends."""
+    key = (spark.sparkContext.applicationId, directory)
+    if key not in _built:
+        folder = scratch(spark, "index")
+        build_index(spark, directory, folder, stemming=False)
+        _built[key] = folder
+    return R.Corpus(spark, _built[key])
+
+
+def indexed_search(spark, directory):
+    """search_all_terms over postings and stored words."""
+    return _page(R.search(_indexed(spark, directory), R.SearchOptions("router window", 30), NOW_MS))
+
+
+def indexed_command_search(spark, directory):
+    """command_search over stored command documents."""
+    return R.commands(_indexed(spark, directory), "make walker", limit=50).select("invocation_id", "message_id", "ts_ms", F.length("output").alias("output_chars"))
+
+
+def indexed_session_list(spark, directory):
+    """session_list over stored source projections."""
+    return R.sessions(_indexed(spark, directory), limit=100)
+
+
 def search_any_term(spark, directory):
     return _page(R.search(_c(spark, directory), R.SearchOptions("bisect quillback", 30, any=True), NOW_MS))
 
@@ -172,7 +203,7 @@ def attached_activities(spark, directory):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        last_messages, last_prose_of_type, last_of_cwd, last_excluding, search_all_terms, search_any_term, search_phrase, search_everything, search_per_session,
+        last_messages, last_prose_of_type, last_of_cwd, last_excluding, search_all_terms, indexed_search, indexed_command_search, indexed_session_list, search_any_term, search_phrase, search_everything, search_per_session,
         search_window, search_raw, search_near, search_noise, search_stemmed, search_context, read_around, session_list, session_search, activity_list, activity_status,
         message_lineage, command_list, command_search, command_output_search, table_counts, source_counts, source_projections, message_prefixes, tool_pairs_by_id, tool_pairs_greedy, attached_activities,
     )
@@ -281,3 +312,4 @@ WHERE r.session_id <> '' AND r.tool_id <> '' GROUP BY 1""",
 SELECT session_id, parent_session, source_path, 'running' FROM sessions s WHERE visibility = 'attached' AND parent_session <> '' AND session_id <> ''
 AND NOT EXISTS (SELECT 1 FROM activities a WHERE a.child_session_path = s.source_path) AND NOT EXISTS (SELECT 1 FROM activities a WHERE a.activity_id = s.session_id) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY source_path) = 1""",
 }
+SQL |= {"indexed_search": SQL["search_all_terms"], "indexed_command_search": SQL["command_search"], "indexed_session_list": SQL["session_list"]}

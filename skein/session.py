@@ -45,6 +45,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder; what is written there goes when the application ends."""
+    path = f"{shared_dir(spark)}/skein-{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(release_all)
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
@@ -52,11 +61,8 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     format, so later reads prune columns. The files go when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skein-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.mode("overwrite").parquet(path)
-    if not _written:
-        atexit.register(release_all)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

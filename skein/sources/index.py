@@ -3,6 +3,7 @@
     messages.parquet   with content_tokens and prose_tokens, sorted by session and time
     postings.parquet   (p, token, seq), p being the token's first two characters and the partition
     corpus.parquet     (n, words): documents and words
+    source_projections.parquet, command_documents.parquet: see write_projections
 
 A query reads only the partitions of its words, and only candidate documents are looked at token by token. A hot
 word's postings are spread over many files, as they are written sorted by (p, token, seq).
@@ -39,6 +40,17 @@ def write_index(messages: DataFrame, out: str) -> None:
     p.repartitionByRange("p", "token", "seq").sortWithinPartitions("p", "token", "seq").write.mode("overwrite").partitionBy("p").parquet(f"{out}/postings.parquet")
 
 
+def write_projections(spark: SparkSession, directory: str, out: str, stemming: bool = True) -> None:
+    """source_projections.parquet, what listings show of each source, and command_documents.parquet, the calls with their
+    outputs and the words of both, so that queries neither aggregate messages nor gather outputs."""
+    from skein.operators.retrieve import command_docs, source_projection  # that module reads the postings through this one
+
+    tokens = stem_tokens if stemming else plain_tokens
+    source_projection(table(spark, directory, "messages")).write.mode("overwrite").parquet(f"{out}/source_projections.parquet")
+    docs = command_docs(table(spark, directory, "tool_invocations"), table(spark, directory, "tool_results", "invocation_id", "content", "ts_ms", "result_id"))
+    docs.withColumns({"arguments_text_tokens": tokens("arguments_text"), "output_tokens": tokens("output")}).write.mode("overwrite").parquet(f"{out}/command_documents.parquet")
+
+
 def build_index(spark: SparkSession, directory: str, out: str, stemming: bool = True) -> None:
     """An indexed copy of a directory of derived tables."""
     tokens = stem_tokens if stemming else plain_tokens
@@ -48,6 +60,7 @@ def build_index(spark: SparkSession, directory: str, out: str, stemming: bool =
     write_index(m, out)
     for name in OTHERS:
         table(spark, directory, name).write.mode("overwrite").parquet(f"{out}/{name}.parquet")
+    write_projections(spark, directory, out, stemming)
 
 
 def candidates(index: DataFrame, words: list[tuple[str, bool]]) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from skein import schema as S
 from skein.session import materialize
-from skein.sources.index import write_index
+from skein.sources.index import write_index, write_projections
 from skein.sources.transcripts import LINE_BITS, build_tables, changed, discover, link_results, one_child_owner, parse, stem_path
 
 THROTTLE_MS, LOCK_SECONDS, KEEP = 30_000, 30.0, 3
@@ -217,6 +217,7 @@ class Store:
             rows[name] = self.spark.read.parquet(out).count()
             if name == "messages":
                 write_index(self.spark.read.parquet(out), folder)
+        write_projections(self.spark, folder, folder)
         self._replace(os.path.join(folder, "manifest.json"), json.dumps({"schema_version": S.SCHEMA_VERSION, "created_ms": now_ms, "rows": rows}))
         self._replace(os.path.join(self.root, "CURRENT"), os.path.basename(folder))
         for name in sorted(x for x in os.listdir(self.root) if x.startswith("v"))[:-KEEP]:
