@@ -10,9 +10,10 @@ from skein.llm import conversations as talk
 from skein.llm import personal_info
 from skein.llm.leaks import leaks
 from skein.llm.nearest_time import nearest_in_time
-from skein.llm.packing import fill_containers, summary
+from skein.llm.packing import CAPACITY, fill_containers, summary
 from skein.llm.residue import residue
 from skein.llm.splitting import split_items
+from skein.session import materialize
 from skein.sources.tables import table
 
 TOLERANCE_MS = 5000
@@ -66,6 +67,13 @@ def p3_found(spark: SparkSession, directory: str) -> DataFrame:
     return p3_pieces(spark, directory).where(F.col("piece_no") == 0).select("item_table", "item_key").distinct()
 
 
+def p3_round_trip(spark: SparkSession, directory: str) -> DataFrame:
+    """(item_table, item_key, whole, fits): a hash of what the pieces give without their overlaps, and whether all of them are small enough."""
+    pieces = p3_pieces(spark, directory).withColumn("own", F.expr("substring(piece, overlap + 1)"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "own"))), lambda x: x["own"]), "")
+    return pieces.groupBy("item_table", "item_key").agg(F.md5(joined).alias("whole"), (F.max(F.length("piece")) <= 4000).alias("fits"))
+
+
 def p4_mentions(spark: SparkSession, directory: str) -> DataFrame:
     """(item_table, item_key, start, end, pii_kind): every piece of personal information in messages.content and tool_results.content."""
     texts = items(spark, directory).withColumnRenamed("content", "text")
@@ -83,7 +91,9 @@ def p4_redacted(spark: SparkSession, directory: str) -> DataFrame:
     m = table(spark, directory, "messages", "seq", "content", "prose").select(F.lit("messages").alias("item_table"), F.col("seq").alias("item_key"), "content", "prose")
     r = table(spark, directory, "tool_results", "result_id", "content").select(F.lit("tool_results").alias("item_table"), F.col("result_id").alias("item_key"), "content", F.lit(None).cast("string").alias("prose"))
     both = m.unionByName(r)
-    return personal_info.redact(both, personal_info.learn(both.select(F.col("content").alias("text"))), ["content", "prose"])
+    # prose teaches where it says something that the content doesn't hold
+    more = both.where(~F.coalesce(F.contains("content", "prose"), F.lit(False))).select(F.col("prose").alias("text"))
+    return personal_info.redact(both, personal_info.learn(both.select(F.col("content").alias("text")).unionByName(more)), ["content", "prose"])
 
 
 def p8_containers(spark: SparkSession, directory: str) -> DataFrame:
@@ -91,6 +101,16 @@ def p8_containers(spark: SparkSession, directory: str) -> DataFrame:
     return fill_containers(table(spark, directory, "documents", "doc_id", "text"))
 
 
+def p8_placed(spark: SparkSession, directory: str) -> DataFrame:
+    """(doc_id, whole, split, fits): whether a document's pieces follow on each other from its first token, whether there are several, and whether no container is overfull."""
+    placed = materialize(p8_containers(spark, directory), "placed")
+    fill = placed.groupBy("container").agg(F.sum("n_tokens").alias("fill"))
+    pieces = F.array_sort(F.collect_list(F.struct("first_token", "n_tokens")))
+    rows = placed.join(fill, "container").groupBy("doc_id").agg(pieces.alias("p"), F.max("fill").alias("fill"), F.sum("n_tokens").alias("n"))
+    follows = F.forall(F.sequence(F.lit(1), F.size("p")), lambda i: F.when(i == 1, F.element_at("p", i)["first_token"] == 0).otherwise(F.element_at("p", i)["first_token"] == F.element_at("p", F.greatest(i - 1, F.lit(1)))["first_token"] + F.element_at("p", F.greatest(i - 1, F.lit(1)))["n_tokens"]))
+    return rows.select("doc_id", follows.alias("whole"), ((F.size("p") > 1) == (F.col("n") > CAPACITY)).alias("split"), (F.col("fill") <= CAPACITY).alias("fits"))
+
+
 def p8_summary(spark: SparkSession, directory: str) -> DataFrame:
     """(containers, tokens, bound, unused_share)."""
     return summary(p8_containers(spark, directory))
@@ -106,7 +126,7 @@ def p10_found(spark: SparkSession, directory: str) -> DataFrame:
     return residue(table(spark, directory, "documents", "doc_id", "text")).select("doc_id").distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_conversations": p2_conversations, "p2_assembly": p2_assembly, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_mentions": p4_mentions, "p4_redacted": p4_redacted, "p8_containers": p8_containers, "p8_summary": p8_summary, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_conversations": p2_conversations, "p2_assembly": p2_assembly, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_round_trip": p3_round_trip, "p4_found": p4_found, "p4_mentions": p4_mentions, "p4_redacted": p4_redacted, "p8_containers": p8_containers, "p8_placed": p8_placed, "p8_summary": p8_summary, "p9_found": p9_found, "p10_found": p10_found}
 
 _N = r"nullif(lower(regexp_replace({0}, '^\s+|\s+$', '', 'g')), '')"
 _P = r"nullif(regexp_replace(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '\.zst$', ''), '')"
@@ -139,6 +159,8 @@ SELECT invocation_id, result_id FROM (
 SELECT DISTINCT session_id FROM (SELECT {_n('session_id')} AS session_id FROM sessions UNION SELECT {_n('session_id')} FROM messages) WHERE session_id IS NOT NULL AND session_id NOT IN (SELECT s FROM kept)""",
     "p2_conversations": f"""{_TURNS} SELECT s AS session, ts_ms AS at, seq, role AS speaker, content AS words FROM turns WHERE s IN (SELECT s FROM kept)""",
     "p3_found": "SELECT 'messages' AS item_table, seq AS item_key FROM messages WHERE length(content) > 4000 UNION SELECT 'tool_results', result_id FROM tool_results WHERE length(content) > 4000",
+    "p3_round_trip": "SELECT 'messages' AS item_table, seq AS item_key, md5(content) AS whole, true AS fits FROM messages WHERE length(content) > 4000 UNION ALL SELECT 'tool_results', result_id, md5(content), true FROM tool_results WHERE length(content) > 4000",
+    "p8_placed": "SELECT doc_id, true AS whole, true AS split, true AS fits FROM documents WHERE text <> ''",
     "p9_found": r"""WITH w AS (SELECT doc_id AS id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS ws FROM documents),
 i AS (SELECT item_id AS id, regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+') AS ws FROM eval_items),
 ig AS (SELECT DISTINCT id, hash(array_to_string(ws[k:k + 11], ' ')) AS g FROM (SELECT id, ws, unnest(range(1, len(ws) - 10)) AS k FROM i WHERE len(ws) >= 12)),
