@@ -5,8 +5,11 @@ The files hold 512 lines' rows each and exist as rows of (path, content), as a l
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +20,10 @@ from skein.operators import secrets
 from skein.operators.linking import fold_activities
 from skein.plans.retrieval import NOW_MS, _busiest
 from skein.plans.secrets import _count
+from skein.session import scratch
 from skein.sources.lines import REQUEST_MARK
 from skein.sources.tables import table
-from skein.sources.transcripts import one_child_owner, parse, unique_ids
+from skein.sources.transcripts import changed, discover, one_child_owner, parse, unique_ids
 
 PART = 512
 #: The time of all activity events.
@@ -54,8 +58,7 @@ def _parsed(files: DataFrame) -> DataFrame:
     )
 
 
-def ingest_plain(spark, directory):
-    """Messages in the plain and the header envelope, with broken lines between them."""
+def _plain_lines(spark: SparkSession, directory: str) -> DataFrame:
     m, k = _messages(spark, directory), F.col("seq") % 4
     s = lambda c: F.col(c) if c in ("said", "n") else F.lit(c)
     say = F.struct(F.lit("text").alias("type"), F.col("said").alias("text"))
@@ -74,7 +77,49 @@ def ingest_plain(spark, directory):
         .otherwise(record(F.lit("user"), F.lit("user"), result))
     )
     broken = F.when(F.col("seq") % 10 == 5, F.lit('{"type": "user", "message"\n{"type": "user", "timestamp": "2026-01-01T00:00:00Z", "message": {"content": "no id"}}\n{"type": 7, "uuid": "x"}\n')).otherwise("")
-    return _parsed(_files(m.select("part", F.col("seq").alias("place"), F.concat(broken, line).alias("lines"))))
+    return m.select("part", F.col("seq").alias("place"), F.concat(broken, line).alias("lines"))
+
+
+def ingest_plain(spark, directory):
+    """Messages in the plain and the header envelope, with broken lines between them."""
+    return _parsed(_files(_plain_lines(spark, directory)))
+
+
+def _write_files(folder: str):
+    """Files to a folder that all tasks share, by their number plain, packed, or both, the packed one then being empty; what was written."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, content in zip(b["path"], b["content"]):
+                name = os.path.basename(path)
+                n = int(name.removeprefix("part-").removesuffix(".jsonl"))
+                place = os.path.join(folder, f"d{n % 5}")
+                os.makedirs(place, exist_ok=True)
+                for suffix, data in ((("", content),), ((".zst", zstandard.compress(content)),), (("", content), (".zst", zstandard.compress(b""))))[n % 3]:
+                    with open(os.path.join(place, name + suffix), "wb") as f:
+                        f.write(data)
+                with open(os.path.join(place, name + ".txt"), "wb") as f:
+                    f.write(b"no transcript")
+            yield b[["path"]]
+
+    return run
+
+
+def ingest_files(spark, directory):
+    """(what, name, messages): real files in folders, plain and packed, found and read; those of session 3; those that a listing of the even ones lacks.
+
+    The shared folder must be a file system that tasks see as files.
+    """
+    folder = scratch(spark, "transcripts").removeprefix("file://")
+    _files(_plain_lines(spark, directory)).mapInPandas(_write_files(folder), "path string").write.format("noop").mode("overwrite").save()
+    listed = discover(spark, [folder, folder + "/missing"])
+    name, number = F.element_at(F.split("path", "/"), -1), F.regexp_extract("path", r"part-(\d+)", 1).cast("int")
+    read = parse(listed).where(F.col("message").isNotNull()).groupBy(F.col("source_path").alias("path")).agg(F.count("*").alias("messages"))
+    one = discover(spark, [folder], session="3")
+    new = changed(listed, listed.where(number % 2 == 0).select("path", "mtime_ms", "size"))
+    row = lambda what, df, n: df.select(F.lit(what).alias("what"), name.alias("name"), n.alias("messages"))
+    none = F.lit(0).cast("bigint")
+    return row("read", read, F.col("messages")).unionByName(row("session", one, none)).unionByName(row("changed", new, none))
 
 
 def _call_line(n: Column, at: Column) -> Column:
@@ -182,7 +227,7 @@ def activity_by_prefix(spark, directory):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (ingest_plain, ingest_rollout, ingest_activities, ingest_unique_ids, planted_secrets, page_within_budget, last_of_session, search_relaxed, read_by_prefix, activities_of_session, activity_by_prefix)
+    f.__name__: f for f in (ingest_plain, ingest_files, ingest_rollout, ingest_activities, ingest_unique_ids, planted_secrets, page_within_budget, last_of_session, search_relaxed, read_by_prefix, activities_of_session, activity_by_prefix)
 }
 
 _ROWS = f"""m AS (SELECT *, 'part-' || CAST(seq // {PART} AS VARCHAR) AS part, '[' || seq || ' ' || coalesce(prose, '') || ']' AS said, strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS iso,
@@ -204,6 +249,9 @@ SQL = {
 CASE seq % 4 WHEN 2 THEN 'toolResult' WHEN 3 THEN 'user' ELSE coalesce(type, '') END AS type, CASE WHEN seq % 4 = 1 THEN said || chr(10) || 'hm' || chr(10) || '[tool: Run] {{"n":' || seq || '}}' ELSE said END AS content,
 CASE WHEN seq % 4 < 2 AND coalesce(type, '') <> 'toolResult' THEN said ELSE '' END AS prose, CASE WHEN seq % 4 = 1 THEN 't' || seq END AS call_id, CASE WHEN seq % 4 = 1 THEN 'Run' END AS call_name, CASE WHEN seq % 4 = 1 THEN '{{"n":' || seq || '}}' END AS call_arguments,
 CASE WHEN seq % 4 > 1 THEN 't' || seq END AS result_of, CASE seq % 4 WHEN 2 THEN 'Run' WHEN 3 THEN '' END AS result_name, CASE WHEN seq % 4 > 1 THEN said END AS result_content, CASE seq % 4 WHEN 2 THEN false WHEN 3 THEN true END AS is_error FROM m""",
+    "ingest_files": f"""WITH p AS (SELECT seq // {PART} AS n, count(*) AS c FROM messages WHERE ts_ms IS NOT NULL AND coalesce(entry_id, '') <> '' GROUP BY 1),
+f AS (SELECT n, c, 'part-' || n || CASE WHEN n % 3 = 1 THEN '.jsonl.zst' ELSE '.jsonl' END AS name FROM p)
+SELECT 'read' AS what, name, c AS messages FROM f UNION ALL SELECT 'session', name, 0 FROM f WHERE n = 3 UNION ALL SELECT 'changed', name, 0 FROM f WHERE n % 2 = 1""",
     "ingest_rollout": f"""WITH {_ROWS} SELECT '/t/' || part || '.jsonl' AS path,
 CASE seq % 4 WHEN 1 THEN 'ev-' || seq WHEN 2 THEN 'codex-' || sha256('{{"type":"response_item","timestamp":"' || iso || '","payload":{{"type":"function_call","call_id":"c' || seq || '","name":"Run","arguments":"{{\\"n\\":' || seq || '}}"}}}}') ELSE 'm-' || seq END AS id,
 's-' || part AS session_id, ts_ms, CASE WHEN seq % 4 = 0 THEN 'user' ELSE 'assistant' END AS type, CASE seq % 4 WHEN 0 THEN 'before' || chr(10) || '{REQUEST_MARK}' || chr(10) || said WHEN 2 THEN '[tool: Run] {{"n":' || seq || '}}' ELSE said END AS content,
