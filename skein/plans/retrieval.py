@@ -308,6 +308,13 @@ SELECT invocation_id, ts_ms FROM d WHERE {_has('o', 'fail')} > 0 AND {_bigram('o
     "message_prefixes": f"SELECT seq, {_pre('content')} AS content_prefix, {_pre('prose')} AS prose_prefix, octet_length(encode(content))::BIGINT AS content_bytes, octet_length(encode(prose))::BIGINT AS prose_bytes FROM messages",
     "tool_pairs_by_id": """SELECT r.result_id, arg_max(c.invocation_id, row(c.ts_ms, c.invocation_id)) AS invocation_id FROM tool_results r JOIN tool_invocations c ON c.session_id = r.session_id AND c.tool_id = r.tool_id AND c.ts_ms <= r.ts_ms
 WHERE r.session_id <> '' AND r.tool_id <> '' GROUP BY 1""",
+    "tool_pairs_greedy": """WITH RECURSIVE e0 AS (SELECT session_id AS s, ts_ms, 0 AS side, invocation_id AS n, lower(coalesce(tool_name, '')) AS nm FROM tool_invocations WHERE coalesce(tool_id, '') = '' AND session_id <> '' AND ts_ms IS NOT NULL
+UNION ALL SELECT session_id, ts_ms, 1, result_id, lower(coalesce(tool_name, '')) FROM tool_results WHERE coalesce(tool_id, '') = '' AND session_id <> '' AND ts_ms IS NOT NULL),
+ev AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY ts_ms, side, n) AS k FROM e0),
+st AS (SELECT DISTINCT s, 0::BIGINT AS k, []::STRUCT(n BIGINT, nm VARCHAR, used BOOLEAN)[] AS pool, NULL::BIGINT AS rid, NULL::BIGINT AS inv FROM ev
+UNION ALL SELECT s, k, CASE WHEN side = 0 THEN list_append(pool, {'n': n, 'nm': nm, 'used': false})[-64:] ELSE list_transform(pool, lambda x: {'n': x.n, 'nm': x.nm, 'used': x.used OR (hit IS NOT NULL AND x.n = hit)}) END, CASE WHEN hit IS NOT NULL THEN n END, hit
+  FROM (SELECT e.s, e.k, e.side, e.n, e.nm, st.pool, CASE WHEN e.side = 1 THEN list_filter(st.pool, lambda x: NOT x.used AND (x.nm = '' OR e.nm = '' OR x.nm = e.nm))[-1].n END AS hit FROM st JOIN ev e ON e.s = st.s AND e.k = st.k + 1))
+SELECT rid AS result_id, inv AS invocation_id FROM st WHERE rid IS NOT NULL""",
     "attached_activities": """SELECT activity_id, parent_source_path, child_session_path, status FROM activities UNION ALL
 SELECT session_id, parent_session, source_path, 'running' FROM sessions s WHERE visibility = 'attached' AND parent_session <> '' AND session_id <> ''
 AND NOT EXISTS (SELECT 1 FROM activities a WHERE a.child_session_path = s.source_path) AND NOT EXISTS (SELECT 1 FROM activities a WHERE a.activity_id = s.session_id) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY source_path) = 1""",
