@@ -16,6 +16,7 @@ from skein.functions.text import excerpt, preview_text, stem, tokenize
 from skein.operators import retrieve as R
 from skein.operators import secrets
 from skein.plans import match as M
+from skein.session import temporary
 from skein.sources.store import Store
 from skein.sources.transcripts import Config, discover
 
@@ -142,7 +143,8 @@ class Service:
 
     def search(self, p: Params, now_ms: int) -> dict[str, Any]:
         c = self.corpus()
-        rows, _, more, relaxed = self._search(c, p, "search", now_ms)
+        with temporary():
+            rows, _, more, relaxed = self._search(c, p, "search", now_ms)
         phrases = M.phrases(R.compile_search(c, self._options(p, 0)))
         for r in rows:
             r["preview"] = highlight((r["prose"] if not p.all else r["content"]) or "", phrases, p.length) or None
@@ -157,8 +159,9 @@ class Service:
     def context(self, p: Params, now_ms: int) -> dict[str, Any]:
         before, after = 3 if p.before < 0 else p.before, 8 if p.after < 0 else p.after
         c = self.corpus()  # hits and neighbours from one snapshot
-        rows, page, more, relaxed = self._search(c, p, "context", now_ms)
-        near = self._rows(R.lineage(c, R.context(c, page, before, after, not p.all)).orderBy("session_id", "ts_ms", "id"), p) if rows else []
+        with temporary():
+            rows, page, more, relaxed = self._search(c, p, "context", now_ms)
+            near = self._rows(R.lineage(c, R.context(c, page, before, after, not p.all, bounded=p.count("context") > 0)).orderBy("session_id", "ts_ms", "id"), p) if rows else []
         whole = response(near, p.length, p.budget, p.full, not p.all, more, relaxed)
         return whole | {"query": p.pattern, "totalHits": len(rows), "hits": response(rows, p.length, 0, p.full, not p.all)["results"]}
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.text import plain_tokens, prefix, stem_tokens
 from skein.plans import match as M
+from skein.session import materialize
 from skein.sources.index import candidates
 from skein.sources.tables import table
 
@@ -210,11 +211,14 @@ def search(corpus: Corpus, o: SearchOptions, now_ms: int = 0) -> DataFrame:
 
 
 def search_relaxed(corpus: Corpus, o: SearchOptions, now_ms: int = 0) -> tuple[DataFrame, bool]:
-    """The hits; if there are none and several terms were all asked for, those of any term, and whether that found some."""
-    page = search(corpus, o, now_ms)
+    """The hits; if there are none and several terms were all asked for, those of any term, and whether that found some.
+
+    A page is written once, as it is asked several times: whether it is empty, for its rows and for their surroundings.
+    """
+    page = materialize(search(corpus, o, now_ms), "page")
     if o.any or o.raw or len(o.pattern.split()) < 2 or not page.isEmpty():
         return page, False
-    loose = search(corpus, SearchOptions(**{**o.__dict__, "any": True}), now_ms)
+    loose = materialize(search(corpus, SearchOptions(**{**o.__dict__, "any": True}), now_ms), "page")
     return loose, not loose.isEmpty()
 
 
@@ -231,14 +235,14 @@ def resolve(corpus: Corpus, message_id: str) -> str:
     return found[0]
 
 
-def neighbours(corpus: Corpus, hits: DataFrame, before: int, after: int, prose_only: bool = False) -> DataFrame:
+def neighbours(corpus: Corpus, hits: DataFrame, before: int, after: int, prose_only: bool = False, bounded: bool = True) -> DataFrame:
     """(hit_seq, and the message columns): every hit with its neighbours in the session by (ts_ms, seq).
 
-    hits: session_id, seq, ts_ms, a bounded page; its sessions are read by a semi-join. With prose_only neighbours
+    hits: session_id, seq, ts_ms; bounded says that they are a page of a top-k, which may be broadcast. With prose_only neighbours
     need prose, hits don't. For each hit and side the nearest rows are kept, limited within tasks before the shuffle.
     """
     h = hits.select(F.col("session_id").alias("__s"), F.col("seq").alias("hit_seq"), F.col("ts_ms").alias("__t"))
-    near = corpus.messages.join(F.broadcast(h), F.col("session_id") == F.col("__s"))
+    near = corpus.messages.join(F.broadcast(h) if bounded else h, F.col("session_id") == F.col("__s"))
     here, key, mark = F.col("seq") == F.col("hit_seq"), F.struct("ts_ms", "seq"), F.struct(F.col("__t").alias("ts_ms"), F.col("hit_seq").alias("seq"))
     if prose_only:
         near = near.where(here | (F.col("prose") != ""))
@@ -255,11 +259,11 @@ def around(corpus: Corpus, message_id: str, before: int = 5, after: int = 5, pro
     return neighbours(corpus, hit, before, after, prose_only).drop("hit_seq", "side").orderBy("ts_ms", "seq")
 
 
-def context(corpus: Corpus, hits: DataFrame, before: int = 3, after: int = 8, prose_only: bool = True) -> DataFrame:
+def context(corpus: Corpus, hits: DataFrame, before: int = 3, after: int = 8, prose_only: bool = True, bounded: bool = True) -> DataFrame:
     """The neighbours of all hits, each message once, with hit_ids (the hits it is near to, best first), by session and time."""
-    near = neighbours(corpus, hits, before, after, prose_only)
+    near = neighbours(corpus, hits, before, after, prose_only, bounded)
     names = hits.select(F.col("seq").alias("hit_seq"), F.col("id").alias("__hit"), F.col("rank").alias("__rank"))
-    ids = near.join(F.broadcast(names), "hit_seq").groupBy("session_id", "seq").agg(F.transform(F.array_sort(F.collect_set(F.struct("__rank", "__hit"))), lambda x: x["__hit"]).alias("hit_ids"))
+    ids = near.join(F.broadcast(names) if bounded else names, "hit_seq").groupBy("session_id", "seq").agg(F.transform(F.array_sort(F.collect_set(F.struct("__rank", "__hit"))), lambda x: x["__hit"]).alias("hit_ids"))
     rows = near.drop("hit_seq", "side").dropDuplicates(["session_id", "seq"])
     return rows.join(ids, ["session_id", "seq"]).orderBy("session_id", "ts_ms", "id")
 

@@ -120,6 +120,11 @@ def search_stemmed(spark, directory):
     return _page(R.search(_c(spark, directory, True), R.SearchOptions("building agreed", 30, any=True), NOW_MS))
 
 
+def search_inflected(spark, directory):
+    """Inflected words by their stems: both are beginnings of all their forms, which SQL can look for."""
+    return _page(R.search(_c(spark, directory, stemming=True), R.SearchOptions("routers windowing", 30), NOW_MS))
+
+
 def search_context(spark, directory):
     c = _c(spark, directory)
     hits = R.search(c, R.SearchOptions("bisect", 5), NOW_MS)
@@ -204,7 +209,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         last_messages, last_prose_of_type, last_of_cwd, last_excluding, search_all_terms, indexed_search, indexed_command_search, indexed_session_list, search_any_term, search_phrase, search_everything, search_per_session,
-        search_window, search_raw, search_near, search_noise, search_stemmed, search_context, read_around, session_list, session_search, activity_list, activity_status,
+        search_window, search_raw, search_near, search_noise, search_stemmed, search_inflected, search_context, read_around, session_list, session_search, activity_list, activity_status,
         message_lineage, command_list, command_search, command_output_search, table_counts, source_counts, source_projections, message_prefixes, tool_pairs_by_id, tool_pairs_greedy, attached_activities,
     )
 }
@@ -319,4 +324,4 @@ SELECT rid AS result_id, inv AS invocation_id FROM st WHERE rid IS NOT NULL""",
 SELECT session_id, parent_session, source_path, 'running' FROM sessions s WHERE visibility = 'attached' AND parent_session <> '' AND session_id <> ''
 AND NOT EXISTS (SELECT 1 FROM activities a WHERE a.child_session_path = s.source_path) AND NOT EXISTS (SELECT 1 FROM activities a WHERE a.activity_id = s.session_id) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY source_path) = 1""",
 }
-SQL |= {"indexed_search": SQL["search_all_terms"], "indexed_command_search": SQL["command_search"], "indexed_session_list": SQL["session_list"]}
+SQL |= {"indexed_search": SQL["search_all_terms"], "search_inflected": SQL["search_all_terms"], "indexed_command_search": SQL["command_search"], "indexed_session_list": SQL["session_list"]}

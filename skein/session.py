@@ -6,7 +6,10 @@ import atexit
 import os
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,6 +24,7 @@ DEFAULTS = {
 }
 
 _written: list[tuple[SparkSession, str]] = []
+_frames = threading.local()
 
 
 def local_session(app: str = "skein", cores: str | int = "*", **conf: str) -> SparkSession:
@@ -46,11 +50,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's path in the shared folder; what is written there goes when the application ends."""
+    """A new folder's path in the shared folder; what is written there goes when the application ends, or the temporary() around it."""
     path = f"{shared_dir(spark)}/skein-{name}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(release_all)
-    _written.append((spark, path))
+    frames = getattr(_frames, "stack", None)
+    if frames:
+        frames[-1].append((spark, path))
+    else:
+        if not _written:
+            atexit.register(release_all)
+        _written.append((spark, path))
     return path
 
 
@@ -66,10 +74,26 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary() -> Iterator[None]:
+    """What this thread materializes inside goes at the end, so that a server that runs for long keeps nothing."""
+    if not hasattr(_frames, "stack"):
+        _frames.stack = []
+    _frames.stack.append([])
+    try:
+        yield
+    finally:
+        _delete(_frames.stack.pop())
+
+
 def release_all() -> None:
-    """Delete everything that materialize() wrote."""
-    while _written:
-        spark, path = _written.pop()
+    """Delete everything that was materialized outside temporary()."""
+    _delete(_written)
+
+
+def _delete(written: list[tuple[SparkSession, str]]) -> None:
+    while written:
+        spark, path = written.pop()
         try:
             jvm = spark.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)

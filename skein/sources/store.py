@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein import schema as S
-from skein.session import materialize
+from skein.session import materialize, temporary
 from skein.sources.index import write_index, write_projections
 from skein.sources.transcripts import LINE_BITS, build_tables, changed, discover, link_results, one_child_owner, parse, stem_path
 
@@ -149,7 +149,8 @@ class Store:
                     return Stats(skipped=True)
                 fresh.attempted_ms, fresh.roots = now_ms, sorted(roots)
                 try:
-                    stats = self._sync(discover(self.spark, roots), now_ms)
+                    with temporary():
+                        stats = self._sync(discover(self.spark, roots), now_ms)
                     fresh.succeeded_ms, fresh.error = now_ms, ""
                     return stats
                 except Exception as e:
@@ -168,7 +169,8 @@ class Store:
             if not session:
                 with contextlib.suppress(FileNotFoundError):
                     os.remove(os.path.join(self.root, "CURRENT"))
-            return self._sync(discover(self.spark, roots, session), now_ms, every=True)
+            with temporary():
+                return self._sync(discover(self.spark, roots, session), now_ms, every=True)
 
     def _note(self, roots: list[str], fresh: Freshness) -> None:
         path, every = os.path.join(self.root, "freshness.json"), {}

@@ -2,6 +2,7 @@
 
 import io
 import json
+import os
 import threading
 import urllib.error
 import urllib.request
@@ -11,6 +12,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from skein import api, cli, server
+from skein.session import materialize, temporary
 from skein.functions.render import json_line, text
 from skein.functions.shape import plan, render, response, water_fill, within_budget
 
@@ -81,6 +83,15 @@ def test_service(service):
     assert all("needle" in r["preview"] for r in raw)
 
 
+def test_temporary_keeps_nothing(spark):
+    kept = materialize(spark.range(3), "kept")
+    with temporary():
+        gone = materialize(spark.range(4), "gone")
+        assert gone.count() == 4
+    path = gone.inputFiles()[0].removeprefix("file://")
+    assert kept.count() == 3 and not os.path.exists(path)
+
+
 def test_command_line(service, spark, monkeypatch):
     monkeypatch.delenv("PI_SESSION_ID", raising=False)
     common = ["--store", service.store.root, "--root", service.roots[0]]
