@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 EXEMPLARS = os.path.join(os.path.dirname(__file__), "residue_exemplars.tsv")
 #: An exemplar table may have so many rows, as its index is broadcast; more are an error.
 MAX_EXEMPLARS = 100_000
-#: Exemplars of one kind that a passage is compared with together.
+#: Exemplars of one kind that a passage is compared with together; of short passages one for every two words.
 NEAREST = 4
 #: The nearest of them must hold so much by itself.
 ALONE = 0.35
@@ -164,18 +164,20 @@ class Index:
         for kind, post in self.post.items():
             open_ = {w: x for w, x in held.items() if w in post}
             if sum(open_.values()) >= enough and not self.retrieving.isdisjoint(open_):
-                top = max(top, (self._together(post, open_, ALONE / CONTAINMENT * enough), kind))
+                top = max(top, (self._together(post, open_, ALONE / CONTAINMENT * enough, max(1, min(NEAREST, len(held) // 2))), kind))
         return top[0] / total, top[1]
 
-    def _together(self, post: dict[str, list[int]], open_: dict[str, float], alone: float) -> float:
-        """The weight that NEAREST exemplars hold together: the one that holds most, then each time the one that adds most.
+    def _together(self, post: dict[str, list[int]], open_: dict[str, float], alone: float, nearest: int) -> float:
+        """The weight that so many exemplars hold together: the one that holds most, then each time the one that adds most.
         0 where the first holds less than alone."""
         covered = 0.0
-        for _ in range(NEAREST):
+        retrieved = {i for w in open_ if w in self.retrieving for i in post[w]}
+        for _ in range(nearest):
             gains: dict[int, float] = {}
             for w, x in open_.items():
                 for i in post[w]:
-                    gains[i] = gains.get(i, 0.0) + x
+                    if i in retrieved:
+                        gains[i] = gains.get(i, 0.0) + x
             if not gains:
                 break
             gain, i = max((g, -i) for i, g in gains.items())

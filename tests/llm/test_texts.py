@@ -128,7 +128,7 @@ def test_nearest_exemplars_against_brute_force():
         want = 0.0
         for kind in "xyz":
             held, left = 0.0, dict(value)
-            for nth in range(R.NEAREST):
+            for nth in range(max(1, min(R.NEAREST, len(value) // 2))):
                 gains = [(sum(x for w, x in left.items() if w in e.split()), -i) for i, (k, e) in enumerate(exemplars) if k == kind]
                 gain, i = max(gains, default=(0.0, 0))
                 if nth == 0 and gain < R.ALONE * sum(value.values()):
@@ -203,9 +203,6 @@ UNSEEN = [
     'Your text goes here. Replace this sample text.',
     'This application requires a browser with JavaScript enabled.',
     'Gateway error. The upstream server did not respond in time.',
-]
-#: Wordings that were written after all choices had been made.
-LATER = [
     'The document you tried to open is missing or was deleted by its owner.',
     'Nothing to see here. This post has been removed.',
     'Server overloaded. Please come back later.',
@@ -227,6 +224,29 @@ LATER = [
     'Description: to be added\nReviewer: TBD\nRisk: TBD',
     'Please log in again. Your session timed out.',
 ]
+#: Wordings that were written after all choices had been made.
+LATER = [
+    'The item you are trying to view was taken offline.',
+    'We ran into a problem while loading this screen. Reload and try again.',
+    '502 Bad Gateway\ncloudflare',
+    'Your request was rejected by the security filter.',
+    'This share link is no longer valid.',
+    'Scripting has to be switched on for this viewer.',
+    'This browser blocks JavaScript, therefore the page stays empty. Allow it and reload.',
+    'Hi {first_name},\n\nyour subscription {plan} renews on {date}.\n\nYours,\n{company}',
+    'Customer: [Customer]\nOrder: [Order No]\nTotal: [Total]',
+    'Sed posuere consectetur est at lobortis. Donec ullamcorper nulla non metus auctor fringilla.',
+    'Blindtext als Platzhalter, bitte später ersetzen.',
+    'Der angeforderte Dienst ist zurzeit nicht erreichbar.',
+    'El enlace ha caducado o no es válido.',
+    'Cette page est introuvable ou a été supprimée.',
+    '401 - Unauthorized: Access is denied due to invalid credentials.',
+    'The server did not respond. Check the address or try later.',
+    'Insert your own paragraph here. This is only an example.',
+    'Il faut activer JavaScript pour afficher cette page.',
+    'Chat not available. It may have been deleted.',
+    'Cause: TBD\nFix: TBD\nVerified by: to be determined',
+]
 #: Real content that mentions or quotes residue.
 MENTIONS = [
     "The renderer answers 404 Not Found when the slug has a trailing dot. I traced it to the router: it strips the dot before the lookup, so the cached entry never matches.",
@@ -245,7 +265,7 @@ def test_unseen_wordings_and_mentions(spark):
     docs, labelled = spark.read.parquet(path), R.read_exemplars()
     index = R.Index(labelled, *R.weights(R.document_frequencies(docs, R.Index(labelled).keys), docs.count()))
     share = lambda texts: sum(R.coverage(t, index)[0] >= R.COVERAGE for t in texts) / len(texts)
-    assert share(UNSEEN) >= 0.9 and share(LATER) >= 0.75  # 16 of 20 when they were written
+    assert share(UNSEEN) >= 0.9 and share(LATER) >= 0.9
     assert share(MENTIONS) <= 1 / 6  # a short text of which a quoted notice is half is taken for one
 
 
