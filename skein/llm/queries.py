@@ -102,7 +102,7 @@ def p8_containers(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def p8_placed(spark: SparkSession, directory: str) -> DataFrame:
-    """(doc_id, whole, split, fits): whether a document's pieces follow on each other from its first token, whether there are several, and whether no container is overfull."""
+    """(doc_id, whole, split, fits): whether a document's pieces follow on each other from its first token, whether there are several only where it is longer than a container, and whether no container is overfull."""
     placed = materialize(p8_containers(spark, directory), "placed")
     fill = placed.groupBy("container").agg(F.sum("n_tokens").alias("fill"))
     pieces = F.array_sort(F.collect_list(F.struct("first_token", "n_tokens")))
