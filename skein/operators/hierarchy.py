@@ -36,7 +36,7 @@ def clean_links(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 @dataclass
 class Climbed:
-    """What pointer doubling resolved: done has (node, parent, above), above being the ancestors, nearest first; open is (node)."""
+    """What pointer doubling resolved: done has (node, parent, above), above being the ancestors, nearest first; open is (node, pointer, above)."""
 
     done: DataFrame
     open: DataFrame | None
@@ -54,7 +54,7 @@ def _double(done: DataFrame, open_: DataFrame) -> Climbed:
         open_ = walked.where("not done").select("node", "parent", "pointer", "above")
         before, left = left, open_.count()
         if left == before:
-            return Climbed(done, open_.select("node"))
+            return Climbed(done, open_.select("node", "pointer", "above"))
     return Climbed(done, None)
 
 
@@ -93,6 +93,19 @@ def _closure(links: DataFrame) -> DataFrame:
     return pairs
 
 
+def _around(ring: DataFrame) -> DataFrame:
+    """(node, ancestor, distance) of nodes of one parent that run in circles: doubled on until no walk meets a new node.
+    A walk only meets new nodes until it is round, so a node's place among the different ones is its distance."""
+    total = lambda df: df.agg(F.sum(F.size("above"))).first()[0]
+    ring = ring.select("node", "pointer", F.array_distinct("above").alias("above"))
+    now, before = total(ring), -1
+    while now != before:
+        on = ring.select(F.col("node").alias("pointer"), F.col("pointer").alias("__next"), F.col("above").alias("__more"))
+        ring = materialize(ring.join(on, "pointer").select("node", F.col("__next").alias("pointer"), F.array_distinct(F.concat("above", "__more")).alias("above")), "ring")
+        now, before = total(ring), now
+    return ring.select("node", F.posexplode("above").alias("__at", "ancestor")).select("node", "ancestor", (F.col("__at") + 1).alias("distance"))
+
+
 def ancestor_pairs(links: DataFrame, climbed: Climbed | None = None) -> DataFrame:
     """(node, ancestor, distance): every pair reached by following links one or more times; distance is the shortest.
 
@@ -103,7 +116,9 @@ def ancestor_pairs(links: DataFrame, climbed: Climbed | None = None) -> DataFram
     above = c.done.select("node", F.posexplode("above").alias("__at", "ancestor")).select("node", "ancestor", (F.col("__at") + 1).alias("distance"))
     if c.open is None:
         return above
-    open_ = materialize(c.open, "open")
+    if c.open.where(F.size("above") == 0).isEmpty():  # no node of several parents: what is open runs in circles
+        return above.unionByName(_around(c.open))
+    open_ = materialize(c.open.select("node"), "open")
     own = links.join(open_, "node", "left_semi")
     inner = own.join(open_.withColumnRenamed("node", "parent"), "parent", "left_semi")
     exits = own.join(open_.withColumnRenamed("node", "parent"), "parent", "left_anti")
@@ -125,7 +140,7 @@ def hierarchy(nodes: DataFrame, links: DataFrame, separator: str = "/", climbed:
     """
     c = climbed or climb(nodes, links)
     if c.open is not None:
-        open_ = materialize(links.join(c.open, "node", "left_semi").groupBy("node").agg(F.min("parent").alias("parent")), "open")
+        open_ = materialize(links.join(c.open.select("node"), "node", "left_semi").groupBy("node").agg(F.min("parent").alias("parent")), "open")
         c = _double(c.done, open_.select("node", "parent", F.col("parent").alias("pointer"), F.array("parent").alias("above")))
     up = F.size("above")
     trees = c.done.select(
@@ -134,7 +149,7 @@ def hierarchy(nodes: DataFrame, links: DataFrame, separator: str = "/", climbed:
     )
     if c.open is None:
         return trees
-    circling = open_.join(c.open, "node", "left_semi")
+    circling = open_.join(c.open.select("node"), "node", "left_semi")
     on = _closure(circling).where(F.col("node") == F.col("ancestor")).select("node", F.lit(True).alias("__on"))
     lost = circling.join(on, "node", "left").select(
         "node", "parent", F.lit(None).cast("string").alias("root"), F.lit(None).cast("int").alias("depth"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("array<string>").alias("above"),

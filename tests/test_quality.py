@@ -45,6 +45,20 @@ def test_hierarchy_deep_chain_and_empty(spark):
     assert hierarchy(empty, clean_links(empty, empty)).count() == 0 and ancestor_pairs(clean_links(empty, empty)).count() == 0
 
 
+def test_long_circle_with_a_tail(spark):
+    """A circle of 11 with a tail of 3 into it, beside a tree that is resolved in one round."""
+    rows = [(f"c{i}", f"c{(i + 1) % 11}") for i in range(11)] + [("t0", "c4"), ("t1", "t0"), ("t2", "t1"), ("a", "b"), ("b", None)]
+    _, links = forest(spark, rows)
+    up, want = dict(rows), set()
+    for n, _ in rows:
+        at, k, met = up.get(n), 1, set()
+        while at and at not in met:
+            met.add(at)
+            want.add((n, at, k))
+            at, k = up.get(at), k + 1
+    assert {(r.node, r.ancestor, r.distance) for r in ancestor_pairs(links).collect()} == want
+
+
 def test_several_parents(spark):
     _, links = forest(spark, [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", None)])
     assert {(r.node, r.ancestor) for r in ancestor_pairs(links).collect()} == {("a", "b"), ("a", "c"), ("a", "d"), ("b", "d"), ("c", "d")}
