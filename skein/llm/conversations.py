@@ -18,7 +18,7 @@
 
 Defined results: a row without session id belongs to its source file's session, and to none if that is unknown
 (it is then left out); an overlap of a single message without id counts only at the same time; of the fragments that
-could hold another one, the longest with its first message is tried; equal times are ordered by delivery;
+hold another one, the longest takes it; equal times are ordered by delivery;
 sessions without messages are empty and thus dropped; other columns are ignored; empty tables give empty results.
 """
 
@@ -168,30 +168,42 @@ def place_in_fragments(rows: DataFrame) -> DataFrame:
     return read.join(parts, ["session", "export"]).mapInArrow(_finish, "session string, seq bigint, h bigint, named boolean, at bigint, code int, fragment bigint, place bigint, size bigint, prefix bigint, suffix bigint, sum bigint")
 
 
-@F.pandas_udf(T.BooleanType())
-def _is_stretch(start: pd.Series, h: pd.Series, before: pd.Series, end: pd.Series, length: pd.Series, name: pd.Series) -> pd.Series:
-    """Whether the stretch from place start on, between two running sums, is the sequence of this name."""
+@F.pandas_udf(T.LongType())
+def _stretch(start: pd.Series, h: pd.Series, before: pd.Series, end: pd.Series, length: pd.Series) -> pd.Series:
+    """The name of the stretch from place start on, between two running sums."""
     a, z = (x.to_numpy(np.int64).view(np.uint64) for x in (before, end))
     at = start.to_numpy(np.int64)
     with np.errstate(over="ignore"):
         share = z - (a - terms(h.to_numpy(np.int64), at))
-    return pd.Series(stretch_hash(share, at, length.to_numpy(np.int64)).view(np.int64) == name.to_numpy(np.int64))
+    return pd.Series(stretch_hash(share, at, length.to_numpy(np.int64)).view(np.int64))
 
 
 def contained(placed: DataFrame) -> DataFrame:
-    """(session, fragment, holder, at_place): the fragments that are a stretch of a longer one."""
-    first = placed.where(F.col("place") == 0).groupBy("session", "fragment").agg(F.first("h").alias("h"), F.first("size").alias("size"), F.first("named").alias("named"), F.min("at").alias("at"))
-    holds = placed.groupBy("session", "h").agg(F.max(F.struct("size", "fragment", "place", "at")).alias("in"))
-    fits = (F.col("in.size") > F.col("size")) & (F.col("in.place") + F.col("size") <= F.col("in.size"))
-    sure = F.col("named") | (F.col("size") > 1) | F.col("at").eqNullSafe(F.col("in.at"))
-    asked = materialize(first.join(holds, ["session", "h"]).where(fits & sure).select("session", "fragment", "size", F.col("in.fragment").alias("holder"), F.col("in.place").alias("at_place")), "inside")
-    ends = asked.select("session", F.col("holder").alias("fragment"), F.explode(F.array_distinct(F.array("at_place", F.col("at_place") + F.col("size") - 1))).alias("place")).distinct()
-    found = placed.join(ends, ["session", "fragment", "place"], "left_semi").groupBy("session", F.col("fragment").alias("holder"), "place").agg(F.first("h").alias("h"), F.first("sum").alias("sum"))
-    found = materialize(found, "ends")
-    left = found.select("session", "holder", F.col("place").alias("at_place"), "h", F.col("sum").alias("before"))
-    right = found.select("session", "holder", F.col("place").alias("last"), F.col("sum").alias("end"))
-    both = asked.withColumn("last", F.col("at_place") + F.col("size") - 1).join(left, ["session", "holder", "at_place"]).join(right, ["session", "holder", "last"])
-    return both.where(_is_stretch("at_place", "h", "before", "end", "size", "fragment")).select("session", "fragment", "holder", "at_place")
+    """(session, fragment, holder, at_place): the fragments that are a stretch of a longer one, on their last place in the longest.
+
+    All messages of such a fragment lie on several places, so only those that do are looked at. Each fragment is tried
+    wherever its rarest message lies, once for all fragments of the same length with that message on the same place."""
+    once = materialize(placed.groupBy("session", "fragment", "place").agg(*(F.first(c).alias(c) for c in ("size", "h", "named", "sum"))), "once")  # copies are one fragment
+    shared = materialize(once.join(once.groupBy("session", "h").agg(F.count("*").alias("n")).where("n > 1"), ["session", "h"]), "shared")
+    asked = shared.where("size > 1 or named").groupBy("session", "fragment").agg(F.first("size").alias("length"), F.count("*").alias("rows"), F.min(F.struct("n", "place", "h")).alias("rare"))
+    asked = materialize(asked.where("rows = length").select("session", "fragment", "length", F.col("rare.h").alias("h"), F.col("rare.place").alias("lead")), "asked")
+    holder = F.col("fragment").alias("holder")
+    tried = shared.select("session", "h", holder, "size", "place").join(asked.select("session", "h", "length", "lead").distinct(), ["session", "h"])
+    tried = tried.where("size > length and place >= lead and place - lead + length <= size").select("session", "holder", "size", "length", F.expr("place - lead").alias("at_place"), F.expr("place - lead + length - 1").alias("last"))
+    left = shared.select("session", holder, F.col("place").alias("at_place"), "h", F.col("sum").alias("before"))
+    right = shared.select("session", holder, F.col("place").alias("last"), F.col("sum").alias("end"))
+    both = tried.join(left, ["session", "holder", "at_place"]).join(right, ["session", "holder", "last"])
+    names = both.select("session", _stretch("at_place", "h", "before", "end", "length").alias("fragment"), "length", F.struct("size", "holder", "at_place").alias("in"))
+    held = names.join(asked.select("session", "fragment", "length"), ["session", "fragment", "length"], "left_semi").groupBy("session", "fragment").agg(F.max("in").alias("in"))
+    held = materialize(held.select("session", "fragment", "in.holder", "in.at_place"), "held")
+    # a single message without id lies where it was said at the same time, and there wherever that fragment lies
+    alone = placed.where("size = 1 and not named").select("session", "fragment", "h", "at").distinct()
+    said = placed.where("size > 1 and not named").groupBy("session", "h", "at").agg(F.max(F.struct("size", "fragment", "place")).alias("in"))
+    same = (alone["session"] == said["session"]) & (alone["h"] == said["h"]) & alone["at"].eqNullSafe(said["at"])
+    alone = alone.join(said, same).groupBy(alone["session"], alone["fragment"]).agg(F.max("in").alias("in")).select("session", "fragment", F.col("in.fragment").alias("inner"), F.col("in.place").alias("place"))
+    outer = held.select("session", F.col("fragment").alias("inner"), "holder", "at_place")
+    alone = alone.join(outer, ["session", "inner"], "left").select("session", "fragment", F.coalesce("holder", "inner").alias("holder"), (F.coalesce("at_place", F.lit(0)) + F.col("place")).alias("at_place"))
+    return held.unionByName(alone)
 
 
 def overlaps(placed: DataFrame) -> DataFrame:

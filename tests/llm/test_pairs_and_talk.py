@@ -111,6 +111,63 @@ def test_the_overlap_graph_decides_where_there_are_no_ids(spark, monkeypatch):
     assert {r.session_id for r in C.dropped_sessions(m, s).collect()} == {"a", "b", "d"}
 
 
+def laid_inside(spark, rows, *ids):
+    """The rows in fragments, and (session, fragment) -> (holder, at_place) as found."""
+    m, s = talk(spark, rows), sessions_of(spark, *ids)
+    placed = C.place_in_fragments(C.message_rows(m, s))
+    found = C.contained(placed).collect()
+    assert len({(r.session, r.fragment) for r in found}) == len(found)
+    return placed.collect(), {(r.session, r.fragment): (r.holder, r.at_place) for r in found}
+
+
+def plain(batch, words, session, start):
+    """An export without entry ids, one message a second; speakers go by the word."""
+    return [(session, None, None, start + i * 1000, "assistant" if w.startswith("y") else "user", w, batch) for i, w in enumerate(words)]
+
+
+def test_every_place_that_could_hold_a_fragment_is_tried(spark):
+    """The longest fragment with a first message, and the last place in it, don't hold what a shorter one or an earlier place does."""
+    rows = (
+        plain(0, ["go", "y1", "b", "y2", "c", "y3"], "a", 1000) + plain(1, ["d", "y4", "go", "y5", "e", "y6", "f", "y7"], "a", 9000) + plain(2, ["go", "y1", "b"], "a", 1000)  # in the shorter one
+        + plain(0, ["go", "y1", "b", "y2", "go", "y3", "c", "y4"], "b", 1000) + plain(1, ["go", "y1", "b"], "b", 1000)  # at its first place
+        + plain(0, ["go", "y1", "go", "y2"], "c", 1000) + plain(1, ["d", "y3", "go", "y4", "e", "y5"], "c", 9000) + plain(2, ["go"], "c", 3000)  # at the same time only
+        + plain(0, ["go", "y1"], "d", 1000) + plain(1, ["c", "y2", "go", "y1", "d", "y3"], "d", 5000) + plain(2, ["go"], "d", 1000)  # in what lies inside another
+    )
+    m, s = talk(spark, rows), sessions_of(spark, *"abcd")
+    got = C.conversations(m, s).collect()
+    assert {x: sum(r.session == x for r in got) for x in "abcd"} == {"a": 14, "b": 8, "c": 10, "d": 6}
+
+
+def test_contained_fragments_against_brute_force(spark):
+    rng, rows = random.Random(12), []
+    for session in "abcdef":
+        named, kinds = session in "ef", 2 if session in "ab" else 4
+        for batch in range(40):
+            start = rng.randrange(3)
+            for k in range(rng.choice([1, 1, 2, 2, 3, 4, 5, 7, 12, 30])):
+                w = rng.randrange(kinds)
+                rows.append((session, f"e{w}" if named else None, None, (start + k) * 10, "user", f"w{w}", batch))
+    placed, found = laid_inside(spark, rows, *"abcdef")
+    words, times, named = {}, {}, {}
+    for r in placed:
+        words.setdefault((r.session, r.fragment), {})[r.place] = r.h
+        times.setdefault((r.session, r.fragment, r.place), set()).add(r["at"])
+        named[r.session, r.fragment] = r.named
+    words = {k: [x[i] for i in range(len(x))] for k, x in words.items()}
+    lone = {k for k, x in words.items() if len(x) == 1 and not named[k]}
+    want = {}
+    for (s, f), x in words.items():
+        n = len(x)
+        for (t, g), y in words.items():
+            if s == t and len(y) > n:
+                places = [p for p in range(len(y) - n + 1) if y[p : p + n] == x and ((s, f) not in lone or times[s, f, 0] & times[t, g, p])]
+                want[s, f] = max([want.get((s, f), (0, 0, 0)), *((len(y), g, p) for p in places)])
+    want = {k: x[1:] for k, x in want.items() if x[0]}
+    assert found.keys() == want.keys() and len(want) > 50 and len(lone) > 5
+    assert {k: x for k, x in found.items() if k not in lone} == {k: x for k, x in want.items() if k not in lone}
+    assert all((s, h) not in found and words[s, h][p] == words[s, f][0] for (s, f), (h, p) in found.items())  # what holds others lies in none
+
+
 def test_fragments_do_not_depend_on_partitions(spark):
     rng = random.Random(8)
     rows = [("hot", None if rng.random() < 0.3 else f"e{rng.randrange(500)}", "/x", rng.randrange(3000), "user", f"w{i}", 0) for i in range(1500)] + export(1, range(20))
